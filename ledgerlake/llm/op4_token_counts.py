@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, shared_folder
-from .wordtokens import WORD_BPE, WordTokens, as_bytes, vocabulary_digest, vocabulary_path
+from .wordtokens import WORD_BPE, as_bytes, vocabulary_digest, vocabulary_path, word_tokens
 
 NAME = "op4_token_counts"
 LIMIT = 2048
@@ -36,7 +36,7 @@ def content_digest(text: Column) -> Column:
 
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         for batch in batches:
             counts = [len(ids) // 4 for ids in tokens.encoded(as_bytes(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])

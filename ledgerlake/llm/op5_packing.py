@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .numbering import number_within
 from .scratch import Scratch
-from .wordtokens import WORD_BPE, WordTokens, as_bytes, vocabulary_path
+from .wordtokens import WORD_BPE, as_bytes, vocabulary_path, word_tokens
 
 NAME = "op5_packing"
 CAPACITY = 2048
@@ -37,7 +37,7 @@ def _cut(path: str, capacity: int, end_id: int):
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = word_tokens(path)
         for batch in batches:
             rows: list[tuple] = []
             keys = batch.column("doc_id").to_pylist()

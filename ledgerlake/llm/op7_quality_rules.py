@@ -27,7 +27,7 @@ from .wordtokens import as_bytes
 
 NAME = "op7_quality_rules"
 PIECES = "piece_bpe_32k.model"
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 LEAST_WORDS = 50
 #: Rows that a language, or a language's texts of one length, need for bands of their own.
 LEAST_ROWS = 100
@@ -45,10 +45,9 @@ def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def repeat_words(w: K.Words, width: int = 3) -> np.ndarray:
-    """Per text: its words in windows of three words that the text holds twice or more."""
+def in_repeats(w: K.Words, width: int = 3) -> np.ndarray:
+    """Per word: whether it stands in a window of three words that its text holds twice or more."""
     starts, begin = K.window_starts(w.first, width)
-    gone = np.zeros(len(w.hash) + 1, np.int64)
     if len(starts):
         text = np.repeat(np.arange(len(begin) - 1), np.diff(begin)).astype(np.uint64)
         key = K.mix(K.spans_hash(w.hash, starts, starts + width) + text * np.uint64(0x9E3779B97F4A7C15))
@@ -56,8 +55,13 @@ def repeat_words(w: K.Words, width: int = 3) -> np.ndarray:
         same = key[order][1:] == key[order][:-1]
         twice = np.zeros(len(key), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
-        gone[1:] = np.cumsum(K.covered(starts[twice], width, len(w.hash)))
-    return gone[w.first[1:]] - gone[w.first[:-1]]
+        return K.covered(starts[twice], width, len(w.hash))
+    return np.zeros(len(w.hash), bool)
+
+
+def repeat_words(w: K.Words) -> np.ndarray:
+    """Per text: how many of its words stand in repeated windows."""
+    return _per_text(in_repeats(w), w.first)
 
 
 def duplicate_lines(chunk: K.Chunk) -> np.ndarray:
@@ -87,19 +91,19 @@ class Fertility:
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, texts: list[bytes]) -> None:
-        new = set(b"\n".join(texts).split()) - self.known.keys()
+    def learn(self, texts: list[list[bytes]]) -> None:
+        new = set().union(*texts) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set(b"\n".join(texts).split())
+            new = set().union(*texts)
         fresh = list(new)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             for word, ids in zip(part, self.model.encode([w.decode() for w in part], num_threads=1), strict=True):
                 self.known[word] = np.array(ids, np.int32).tobytes()
 
-    def measure(self, text: bytes, chars: int) -> tuple[int, float, float, float]:
-        ids = np.frombuffer(b"".join(map(self.known.__getitem__, text.split())), np.int32)
+    def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
         n = len(ids)
         if not n:
             return 0, 0.0, 0.0, 0.0
@@ -109,15 +113,18 @@ class Fertility:
         return n, chars / n, float(self.is_byte[ids].mean()), entropy
 
 
+_OPEN: dict[str, Fertility] = {}
+
+
 def _measure(path: str):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = Fertility(path)
+        fertility = _OPEN[path] = _OPEN.get(path) or Fertility(path)
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for chunk in K.chunks(batch.column("text")):
                 w, n = K.words(chunk, K.BLANK_SEPARATED), len(chunk)
                 chars = _per_text(_STARTS[chunk.buf] & K.BLANK_SEPARATED.inside[chunk.buf], chunk.off)
-                part = texts[chunk.lo : chunk.hi]
+                part = [x.split() for x in texts[chunk.lo : chunk.hi]]
                 fertility.learn(part)
                 tokens = list(zip(*(fertility.measure(x, c) for x, c in zip(part, chars.tolist(), strict=True)), strict=True))
                 yield pa.RecordBatch.from_pydict(

@@ -14,7 +14,7 @@ import public_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers before it begins anew; this bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
@@ -38,11 +38,11 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, texts: list[bytes]) -> None:
-        new = set(b"\n".join(texts).split()) - self.known.keys()
+    def learn(self, texts: list[list[bytes]]) -> None:
+        new = set().union(*texts) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set(b"\n".join(texts).split())
+            new = set().union(*texts)
         fresh = list(new)
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
@@ -50,16 +50,29 @@ class WordTokens:
                 ids = found.ids
                 self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.split()))
-
     def encoded(self, texts: list[bytes], group: int = 256):
         """The ids of each text, in order; learns the words of a group of texts at a time."""
         for at in range(0, len(texts), group):
-            part = texts[at : at + group]
-            self.learn(part)
-            for text in part:
-                yield self.ids(text)
+            split = [split_words(x) for x in texts[at : at + group]]
+            self.learn(split)
+            known = self.known.__getitem__
+            for words in split:
+                yield b"".join(map(known, words))
+
+
+_OPEN: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One per worker process and file: what a task has learned serves the next."""
+    if path not in _OPEN:
+        _OPEN[path] = WordTokens(path)
+    return _OPEN[path]
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Blank-separated words; in ASCII lower case, which the vocabulary makes anyway, unless that could make a special string."""
+    return text.split() if b"<|" in text else text.lower().split()
 
 
 def as_bytes(column) -> list[bytes]:
