@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this subpackage that register a query: NAME, query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
-MODULES = ("op1_near_duplicates", "op2_decontamination", "op4_token_counts", "op5_packing", "op6_sharding", "op7_quality_rules", "op8_quality_classifier", "op9_line_dedup", "op10_substring_dedup")
+MODULES = ("op1_near_duplicates", "op2_decontamination", "op3_toxicity", "op4_token_counts", "op5_packing", "op6_sharding", "op7_quality_rules", "op8_quality_classifier", "op9_line_dedup", "op10_substring_dedup")
 
 
 def _modules():
