@@ -27,7 +27,7 @@ from .wordtokens import as_bytes
 
 NAME = "op7_quality_rules"
 PIECES = "piece_bpe_32k.model"
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 LEAST_WORDS = 50
 #: Rows that a language, or a language's texts of one length, need for bands of their own.
 LEAST_ROWS = 100

@@ -9,12 +9,16 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import unicodedata
 
+import numpy as np
 import public_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
 #: Words that a worker remembers before it begins anew; this bounds its memory.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Signs that the vocabulary splits from a word of letters before them, as one token sequence of their own.
+TAIL = b".,!?;:*$%&#|"
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
@@ -37,18 +41,50 @@ class WordTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
 
     def learn(self, texts: list[list[bytes]]) -> None:
+        """Learns new words: words of letters many at a time, signs behind them apart, all others one by one."""
         new = set().union(*texts) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = set().union(*texts)
-        fresh = list(new)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+        known, letters, others, joined = self.known, set(), [], []
+        for word in new:
+            core = word.rstrip(TAIL)
+            text = core.decode()
+            if not (text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())):
+                others.append(word)
+                continue
+            if core not in known:
+                letters.add(text)
+            if core != word:
+                joined.append((word, core, word[len(core) :]))
+        fresh = list(letters)
+        for at in range(0, len(fresh), 1000):
+            others += self._learn_letters(fresh[at : at + 1000])
+        others += {tail for _, _, tail in joined} - known.keys()
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
+                known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        for word, core, tail in joined:
+            known[word] = known[core] + known[tail]
+
+    def _learn_letters(self, words: list[str]) -> list[bytes]:
+        """Encodes words together and cuts where a token ends a word; gives them back if one of them has more ends than one."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return [w.encode() for w in words]
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.known[word.encode()] = data[at:end]
+            at = end
+        return []
 
     def encoded(self, texts: list[bytes], group: int = 256):
         """The ids of each text, in order; learns the words of a group of texts at a time."""
