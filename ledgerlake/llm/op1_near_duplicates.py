@@ -7,12 +7,15 @@ twelve symbols differ on average and more than 23 in about one pair of ten thous
 their whole signatures differ in at most 23 symbols, and are then confirmed on the full sets.
 
 Texts with equal sets are one class from the start. Within a bucket no list of all pairs is made. First every member is
-tried against the bucket's least member, and the confirmed links are made into components; then, for two more rounds, against
-another member of its bucket's largest part. At last every pair of a bucket that is still in two different components is
+tried against the bucket's least member, and the confirmed links are made into components. Members of buckets that still hold
+several components are dropped where they can't have another link: too few of their shingles occur in any other of those
+members. Then the rest are tried against a member of another component in some of their buckets. At last every pair of a bucket
+that is still in two different components, and whose bitmaps of shingles don't rule a link out, is
 tried. All pairs that share a key are thus either confirmed, refuted or already in one component, so the components are
 those of all pairs, whatever a bucket's size.
 
-One result row per input row. Null and wordless texts have empty sets and stand alone. With fewer than five words the whole
+One result row per input row. Null and wordless texts have empty sets and stand alone; so do rows
+without a doc_id. Rows that share a doc_id share its component. With fewer than five words the whole
 sequence is one shingle. Rows that repeat are one class. An empty table gives an empty result.
 """
 
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
@@ -41,6 +44,10 @@ LANE = SYMBOL_BITS + 1
 LANES = [((1 << SYMBOL_BITS) - 1) << (LANE * i) for i in range(CHUNK)]
 LOW, HIGH = sum(LANES), sum(1 << (LANE * i + SYMBOL_BITS) for i in range(CHUNK))
 SHARE = (75, 100)
+#: Bits of the bitmaps that bound intersections.
+BITMAP = 1024
+#: Buckets from which a member is tried ahead in one round.
+TRIES = 8
 SKETCH = "doc_id long, n_shingles long, set_id binary, signature array<long>"
 
 _MULTIPLY = K.stream(11, SYMBOLS) | np.uint64(1)
@@ -133,6 +140,31 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(ok, pa.bool_())})
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for chunk in K.chunks(batch.column("text")):
+            hashes, begin = shingles(chunk)
+            sets = [np.unique(hashes[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(ids[chunk.lo : chunk.hi], [len(x) for x in sets])), "shingle": pa.array(np.concatenate(sets).view(np.int64))})
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk in K.chunks(batch.column("text")):
+            hashes, begin = shingles(chunk)
+            bits = np.zeros((len(chunk), BITMAP), bool)
+            bits[np.repeat(np.arange(len(chunk)), np.diff(begin)), (hashes % np.uint64(BITMAP)).astype(np.int64)] = True
+            longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").slice(chunk.lo, len(chunk)), "bits": pa.array(longs.tolist(), pa.list_(pa.int64()))})
+
+
+def alone(x: Column, y: Column) -> Column:
+    """At least so many elements of x's set are not in y's: the bits that x's bitmap has and y's has not."""
+    # Looped rather than written out: a condition of that many terms is too long a method for the JVM to compile.
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, more: n + more)
+
+
 class NearDuplicates:
     """The steps over one table of documents (columns doc_id and text)."""
 
@@ -146,7 +178,7 @@ class NearDuplicates:
         self.sketched = self.scratch.keep(sketches(self.docs), "sketches")
         first = self.sketched.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
         self.members = self.scratch.keep(self.sketched.join(first, "set_id", "left").select("doc_id", "n_shingles", "id", "signature"), "members")
-        return self.members.where("doc_id = id").select("id", "signature").dropDuplicates(["id"])
+        return self.members.where("doc_id = id").select("id", "signature", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
 
     def buckets(self, classes: DataFrame) -> DataFrame:
         """(key, id, least): the members of all buckets with more than one, and the bucket's least member."""
@@ -172,32 +204,66 @@ class NearDuplicates:
         self.scratch.drop(pairs, texts)
         return done
 
-    def _parts(self, buckets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and the buckets that still hold more than one, with the component of each member."""
-        found = components(links, self.scratch)
-        held = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        split = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "low")
-        return found, held.join(split, "key")
-
-    def find(self, rounds: int = 2) -> DataFrame:
-        classes = self.classes()
-        self.signed = classes = self.scratch.keep(classes, "classes")
-        buckets = self.buckets(classes)
+    def _split(self, held: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """The rows (key, id, component) of those buckets that still hold more than one component."""
+        placed = held.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return self.scratch.keep(placed.join(several, "key"), name)
+
+    def _linkable(self, split: DataFrame) -> DataFrame:
+        """(id, n, s, bits, signature): members of the given buckets that can have another link at all; exact.
+
+        s counts the shingles that a member shares with any other of them: a link needs 100 s >= 75 n.
+        """
+        ids = split.select("id").distinct().join(self.signed, "id")
+        texts = self.scratch.keep(self.docs.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "split-texts")
+        table = self.scratch.keep(texts.mapInArrow(_listed, "id long, shingle long"), "shingles")
+        most, whole = SHARE
+        shared = table.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
+        counted = table.join(shared, "shingle").groupBy("id").agg(F.count("*").alias("s"))
+        able = ids.join(counted, "id").where(whole * F.col("s") >= most * F.col("n"))
+        left = self.scratch.keep(able.join(texts.mapInArrow(_bitmaps, "id long, bits array<long>"), "id").select("id", "n", "s", "bits", "signature"), "linkable")
+        self.scratch.drop(texts, table)
+        return left
+
+    def _advances(self, split: DataFrame, turn: int) -> DataFrame:
+        """Pairs of a member with one of another component in its bucket, drawn by hash; from TRIES of its buckets at most.
+        They only hasten what ``_across`` would find."""
+        lead = split.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(turn))).alias("lead"))
+        outside = split.join(lead, "key").where(F.col("component") != F.col("lead.component")).select("id", F.col("lead.id").alias("other"), F.xxhash64("key", F.lit(turn)).alias("draw"))
+        nth = F.row_number().over(Window.partitionBy("id").orderBy("draw", "other"))
+        return outside.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+    def _across(self, split: DataFrame, linkable: DataFrame) -> DataFrame:
+        """All pairs of a bucket in different components that can be linked and whose signatures are near enough."""
+        s = split.join(linkable, "id")
+        x, y = (s.select("key", F.col("id").alias(n), F.col("component").alias(f"c{n}"), F.col("signature").alias(f"s{n}"), F.col("n").alias(f"n{n}"), F.col("s").alias(f"m{n}"), F.col("bits").alias(f"b{n}")) for n in "ab")
+        # A link needs whole * shared >= most * (na + nb - shared); what one set shares with the other is bounded on both sides.
+        most, whole = SHARE
+        enough = lambda shared: (whole + most) * shared >= most * (F.col("na") + F.col("nb"))
+        can = enough(F.least("ma", "mb")) & enough(F.col("na") - alone(F.col("ba"), F.col("bb"))) & enough(F.col("nb") - alone(F.col("bb"), F.col("ba")))
+        near = (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (symbols_apart(F.col("sa"), F.col("sb")) <= MOST_DIFFERENT) & can
+        return x.join(y, near).select("a", "b").distinct()
+
+    def find(self, rounds: int = 1) -> DataFrame:
+        self.signed = self.scratch.keep(self.classes(), "classes")
+        buckets = self.buckets(self.signed)
         tried = self.confirm(self._signed(buckets.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()), "first")
-        buckets = buckets.select("key", "id")
-        found, split = self._parts(buckets, tried.where("linked"))
+        found = components(tried.where("linked"), self.scratch)
+        split = self._split(buckets, found, "split")
+        if not split.isEmpty():
+            linkable = self._linkable(split)
+            split = self._split(split.join(linkable.select("id"), "id", "left_semi"), found, "linkable")
         for turn in range(rounds):
-            # Another member of the lowest component in the bucket, by a hash of this round, for those outside it.
-            lead = split.where("component = low").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("lead"))
-            pairs = split.where("component > low").join(lead, "key").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-            fresh = self.confirm(self._signed(pairs.join(tried, ["a", "b"], "left_anti")), f"round{turn}")
+            if split.isEmpty():
+                break
+            fresh = self.confirm(self._signed(self._advances(split, turn).join(tried, ["a", "b"], "left_anti")), f"round{turn}")
             tried = tried.unionByName(fresh)
-            found, split = self._parts(buckets, tried.where("linked"))
-        split = self.scratch.keep(split.select("key", "id", "component").join(self.signed, "id"), "split")
-        x, y = (split.select("key", F.col("id").alias(n), F.col("component").alias(f"c{n}"), F.col("signature").alias(f"s{n}")) for n in "ab")
-        apart = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (symbols_apart(F.col("sa"), F.col("sb")) <= MOST_DIFFERENT))
-        last = self.confirm(apart.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "last")
-        found = components(tried.unionByName(last).where("linked"), self.scratch)
+            found = components(fresh.where("linked"), self.scratch, found)
+            split = self._split(split, found, f"split{turn}")
+        if not split.isEmpty():
+            last = self.confirm(self._across(split, linkable).join(tried, ["a", "b"], "left_anti"), "last")
+            found = components(last.where("linked"), self.scratch, found)
         out = self.members.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
         return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
