@@ -9,7 +9,10 @@ from ledgerlake.functions.keys import prefix_end
 from ledgerlake.schema import DELETE, SET
 
 FOUND, DELETED, NOT_FOUND = "Found", "Deleted", "NotFound"
-NEWEST_FIRST = [F.desc("seq"), F.desc("kind")]
+
+
+def newest_first() -> list[Column]:
+    return [F.desc("seq"), F.desc("kind")]
 
 
 def bounded(log: DataFrame, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
@@ -29,7 +32,7 @@ def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """
     if snapshot is not None:
         log = log.where(F.col("seq") <= snapshot)
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(*NEWEST_FIRST))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(*newest_first()))
     return log.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -121,12 +124,12 @@ def seek(log: DataFrame, key: bytes, seq: int, kind: int = SET) -> DataFrame:
     """The first version at or after (key, seq, kind) in the order key up, seq down, kind down."""
     at, k = F.lit(bytes(key)), F.col("key")
     later = (k > at) | ((k == at) & ((F.col("seq") < seq) | ((F.col("seq") == seq) & (F.col("kind") <= kind))))
-    return log.where(later).orderBy("key", *NEWEST_FIRST).limit(1)
+    return log.where(later).orderBy("key", *newest_first()).limit(1)
 
 
 def history(log: DataFrame, start: bytes | None = None, end: bytes | None = None) -> DataFrame:
     """All versions, keys up and newest first, with their number within the key from 1."""
-    number = F.row_number().over(Window.partitionBy("key").orderBy(*NEWEST_FIRST))
+    number = F.row_number().over(Window.partitionBy("key").orderBy(*newest_first()))
     return bounded(log, start, end).withColumn("version", number).orderBy("key", "version")
 
 
