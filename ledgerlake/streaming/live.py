@@ -47,13 +47,13 @@ def apply_in_order(commands: DataFrame, checkpoint: str, sink: Callable[[DataFra
     return ordered.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def rate_limited(requests: DataFrame, rate: float, burst: float, idle: str = "1 hour") -> DataFrame:
+def rate_limited(requests: DataFrame, rate: float, burst: float, idle_seconds: float | None = None) -> DataFrame:
     """A stream of requests (client, at seconds, id) with allowed and retry_after; a client's bucket is its state.
 
-    A bucket that saw no request for ``idle`` is dropped, by then it is full again.
+    With ``idle_seconds`` a bucket that saw no request for so long (take burst / rate or more: it is full again by then) is
+    dropped, which bounds the state. That needs a query that keeps running; a query that ends with its input needs none.
     """
-    hours, unit = idle.split()
-    wait = int(float(hours) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")] * 1000)
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -65,9 +65,8 @@ def rate_limited(requests: DataFrame, rate: float, burst: float, idle: str = "1
             bucket.state[key[0]] = state.get
         verdicts = [bucket.allow(key[0], at) for at in rows["at"].tolist()]
         state.update(bucket.state[key[0]])
-        state.setTimeoutDuration(wait)
+        if idle_seconds is not None:
+            state.setTimeoutDuration(int(idle_seconds * 1000))
         yield rows.assign(allowed=[v[0] for v in verdicts], retry_after=[v[1] for v in verdicts])[["client", "at", "id", "allowed", "retry_after"]]
 
-    return requests.groupBy("client").applyInPandasWithState(
-        step, "client string, at double, id long, allowed boolean, retry_after double", "tokens double, at double", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    return requests.groupBy("client").applyInPandasWithState(step, "client string, at double, id long, allowed boolean, retry_after double", "tokens double, at double", "append", timeout)
