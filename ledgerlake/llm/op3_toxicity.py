@@ -5,10 +5,10 @@ look like; a channel says what writers do to them: digits and signs for letters,
 separated. Words that show such signs become a lattice of readings, and Viterbi search with a bounded beam takes the cheapest.
 Plain words are left as they are.
 
-Scoring is learned from labelled training rows, copies of a text counting once. A feature is a hash of a restored word, or of its
+Scoring is learned from a bounded sample of the labelled training rows (TRAINING), copies of a text counting once. A feature is a hash of a restored word, or of its
 first 4, 5 or 6 bytes. Features of toxic texts are counted, then counted in clean texts (a bitmap of fixed size says which ones
 matter), and those with the strongest log-odds make the model, at most MODEL of them. A logistic function of a text's strongest
-evidence and its length is fitted to at most SAMPLE training rows, each judged without its own counts, and gives the score.
+evidence and its length is fitted to the training rows, each judged without its own counts, and gives the score.
 
 Labels serve training alone; doc_id only decides who is held out. One result row per input row. Null and empty texts have no
 evidence and get the score of that. Rows that repeat score alike. A row whose labels contradict each other counts as toxic.
@@ -30,8 +30,10 @@ from .scratch import Scratch
 
 NAME = "op3_toxicity"
 FOLDS = 5
-#: Features in the model and training rows behind the final logistic function, at most.
-MODEL, SAMPLE = 1 << 16, 50_000
+#: Features in the model, at most.
+MODEL = 1 << 16
+#: Labelled texts to learn from, at most, by label: those with the least hashes of their content.
+TRAINING = {1: 8192, 0: 16384}
 BITMAP_BITS = 24
 #: Toxic texts that a feature must occur in, and least log-odds.
 LEAST_TEXTS, LEAST_ODDS = 2, 1.5
@@ -332,9 +334,12 @@ class ToxicityScorer:
         self.name = uuid.uuid4().hex  # workers keep what they have restored with this model
         self.model = send(model)
         marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-        train = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).join(marks, "doc_id")
-        train = train.groupBy(F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(1), "text").alias("m2")).agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
-        train = train.join(docs.select("doc_id", "text"), "doc_id").where(F.xxhash64("text") == F.col("m1")).select("m1", "label", "text").dropDuplicates(["m1"])
+        keys = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(1), "text").alias("m2"))
+        distinct = keys.join(marks, "doc_id").groupBy("m1", "m2").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label"))
+        chosen = [distinct.where(F.col("label") == label).orderBy("m1", "m2").limit(n) for label, n in TRAINING.items()]
+        # The training rows' keys are at most sum(TRAINING) rows of 20 bytes; texts don't move.
+        chosen = Scratch(self.spark, "toxicity").keep(chosen[0].unionByName(chosen[1]).select("doc_id", "m1", "label"), "chosen")
+        train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("m1")).select("m1", "label", "text").dropDuplicates(["m1"])
         train = Scratch(self.spark, "toxicity").keep(train, "training")
         sizes = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
         self.evidence = self.weights = None
@@ -352,7 +357,7 @@ class ToxicityScorer:
         kept = kept.orderBy(odds.desc(), "feature").limit(MODEL).toArrow()
         arrays = [kept.column(c).to_numpy() for c in ("feature", "toxic", "clean")]
         self.evidence = send(Evidence(arrays[0].view(np.uint64), arrays[1], arrays[2], (sizes[1], sizes[0])))
-        rows = train.orderBy("m1").limit(SAMPLE).select("text", "label").mapInArrow(_strongest(self.model, self.name, self.evidence), "x array<double>, label int").toArrow()
+        rows = train.select("text", "label").mapInArrow(_strongest(self.model, self.name, self.evidence), "x array<double>, label int").toArrow()
         self.weights = _logistic(np.array(rows.column("x").to_pylist()), rows.column("label").to_numpy().astype(float))
 
     def score(self, docs: DataFrame) -> DataFrame:
