@@ -38,6 +38,8 @@ BITMAP_BITS = 24
 #: Toxic texts that a feature must occur in, and least log-odds.
 LEAST_TEXTS, LEAST_ODDS = 2, 1.5
 PREFIXES = (4, 5, 6)
+#: Features below which a text is no shorter to the logistic function: few short texts are there to fit it.
+SHORT = 200
 BEAM = 24
 
 #: What a sign may stand for.
@@ -294,7 +296,7 @@ def _strongest(sent, name: str, evidence, weights=None):
                 flat, text = _distinct(*restorer.words(chunk))
                 n = len(chunk)
                 labels = None if weights is not None else batch.column("label").slice(chunk.lo, n).to_numpy(zero_copy_only=False)
-                x = np.column_stack([e.strongest(flat, text, n, labels), np.log1p(np.bincount(text, minlength=n)[:n]), np.ones(n)])
+                x = np.column_stack([e.strongest(flat, text, n, labels), np.log(np.maximum(np.bincount(text, minlength=n)[:n], SHORT)), np.ones(n)])
                 if weights is None:
                     yield pa.RecordBatch.from_pydict({"x": pa.array(list(x), pa.list_(pa.float64())), "label": pa.array(labels, pa.int32())})
                 else:
