@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 All but the last return the columns of documents:
 
 - quality: rows that the classifier rejects go;
-- lines: later repeats of runs of lines are deleted from texts (a text that loses all its lines stays as an empty one);
+- lines: later repeats of lines, single ones too, are deleted from texts (a text that loses all its lines stays as an empty one);
 - near_duplicates: of each group of near-duplicates the row with the least doc_id stays; empty texts are no group;
 - decontamination: rows that hold benchmark passages on a twentieth of their words go;
 - packing: the rest becomes sequences of 2048 tokens, one row per piece.
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op9_line_dedup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return op9_line_dedup.dedup_lines(docs.select(*COLUMNS), run=1).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

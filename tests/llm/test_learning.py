@@ -66,3 +66,11 @@ def test_pipeline(spark, tmp_path):
         else:
             assert after.select("doc_id").distinct().count() == before
         docs, before = after, after.count()
+
+
+def test_pipeline_finds_single_repeated_lines(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, passage), (2, f"own start\n{passage}"), (3, "short text"), (4, "short text"), (5, "a b\n\nc d")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert out == {1: (passage, len(passage)), 2: ("own start", 9), 3: ("short text", 10), 4: ("", 0), 5: ("a b\n\nc d", 8)}
