@@ -3,6 +3,7 @@ import pytest
 from ledgerlake.functions import bloom, codecs
 from ledgerlake.functions.codecs import Edit, RunMeta
 from ledgerlake.functions.numbers import human_bytes
+from ledgerlake.plans import registry
 from ledgerlake.schema import CorruptData, InvalidRecord
 from ledgerlake.sources import wal
 from tests.helpers import log, show
@@ -73,6 +74,12 @@ def test_human_bytes(spark):
     assert [r[0] for r in rows.select(human_bytes(rows["n"])).collect()] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "128.0 MiB", "3.0 GiB"]
 
 
+def test_every_order_is_shown(spark):
+    d = "/root/testdata/sf0.001"
+    keys = sorted(r[0] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").collect())
+    assert sorted(r["o_orderkey"] for r in registry.queries()["human_bytes"](spark, d).collect()) == keys
+
+
 def test_bloom():
     assert round(bloom.bits_per_key(0.01), 3) == 9.585 and bloom.num_hashes(bloom.bits_per_key(0.01)) == 7 and bloom.num_hashes(bloom.bits_per_key(0.001)) == 10
     keys = [b"key-%d" % i for i in range(2000)]
