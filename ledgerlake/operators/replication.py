@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from ledgerlake.schema import DELETE, SET
 
 NOOP = 2
+#: Positions of a log that one task folds at a time.
+PART = 1 << 14
 
 
-def fold_log(records: DataFrame) -> DataFrame:
+def fold_log(records: DataFrame, part: int = PART) -> DataFrame:
     """The entries that survive of records (pos, rec, index, term, ...).
 
     An ENTRY overwrites its index and drops what follows it; TRUNC drops everything from its index. So an entry survives if no
     later record has an index at or below its own. An entry that leaves a gap starts the log anew, which drops all before it.
     """
-    edits = records.where(F.col("rec").isin("ENTRY", "TRUNC"))
-    # One window over a log: a replicated group's log is one sequence, cut by snapshots in practice.
-    in_order = Window.orderBy("pos")
+    edits = records.where(F.col("rec").isin("ENTRY", "TRUNC")).withColumn("_part", F.floor(F.col("pos") / part))
     end = F.when(F.col("rec") == "ENTRY", F.col("index")).otherwise(F.col("index") - 1)
-    gaps = edits.withColumn("_last", F.lag(end).over(in_order)).withColumn("_reset", (F.col("rec") == "ENTRY") & (F.col("index") > F.coalesce("_last", F.lit(0)) + 1) & (F.col("index") > 1))
-    later = in_order.rowsBetween(1, Window.unboundedFollowing)
-    kept = gaps.withColumn("_least", F.min("index").over(later)).withColumn("_gone", F.coalesce(F.max(F.col("_reset").cast("int")).over(later), F.lit(0)))
-    return kept.where((F.col("rec") == "ENTRY") & (F.col("_least").isNull() | (F.col("_least") > F.col("index"))) & (F.col("_gone") == 0)).drop("_last", "_reset", "_least", "_gone")
+    # A log is folded per part; what crosses a part's ends (the end before it, the least index after it) is one row a part.
+    ordered = Window.orderBy("_part")
+    sums = edits.groupBy("_part").agg(F.max_by(end, "pos").alias("_end"), F.min("index").alias("_low"))
+    ends = sums.select("_part", F.lag("_end").over(ordered).alias("_before"), F.min("_low").over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    in_order = Window.partitionBy("_part").orderBy("pos")
+    last = F.coalesce(F.lag(end).over(in_order), F.col("_before"), F.lit(0))
+    gaps = edits.join(F.broadcast(ends), "_part").withColumn("_reset", (F.col("rec") == "ENTRY") & (F.col("index") > last + 1) & (F.col("index") > 1))
+    anew = gaps.where("_reset").agg(F.max("pos").alias("_anew"))
+    kept = gaps.withColumn("_least", F.least(F.min("index").over(in_order.rowsBetween(1, Window.unboundedFollowing)), F.col("_after"))).join(F.broadcast(anew))  # one row
+    alive = (F.col("rec") == "ENTRY") & (F.col("_least").isNull() | (F.col("_least") > F.col("index"))) & (F.col("_anew").isNull() | (F.col("pos") >= F.col("_anew")))
+    return kept.where(alive).select(*records.columns)
 
 
 def hard_state(records: DataFrame) -> DataFrame:

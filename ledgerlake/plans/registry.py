@@ -470,7 +470,7 @@ def _(spark, d):
     SELECT pos, index, CAST(term AS BIGINT) AS term FROM g WHERE rec = 'ENTRY' AND (least IS NULL OR least > index) AND gone = 0""",
 )
 def _(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("pos"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("pos"))
     cut = F.pmod("pos", F.lit(10)) == 9
     tens = F.expr("pos div 10")
     records = orders.select("pos", F.when(cut, "TRUNC").otherwise("ENTRY").alias("rec"), F.when(cut, F.col("pos") - 2 * tens - 3).otherwise(F.col("pos") - 4 * tens + 1).alias("index"), (tens + 1).alias("term"))

@@ -1,3 +1,5 @@
+import random
+
 from ledgerlake.operators import limits, replication
 from ledgerlake.operators.limits import TokenBucket
 from ledgerlake.plans import registry
@@ -33,6 +35,39 @@ def test_log_suffix_is_overwritten(spark):
     assert [r["index"] for r in kept] == [9, 10]
 
 
+def fold(records):
+    """Entries (pos, index, term) that survive, record by record."""
+    kept, last = [], 0
+    for pos, rec, index, term in sorted(records):
+        if rec == "ENTRY":
+            kept = [] if index > last + 1 and index > 1 else [e for e in kept if e[1] < index]
+            kept.append((pos, index, term))
+            last = index
+        else:
+            kept, last = [e for e in kept if e[1] < index], index - 1
+    return sorted(kept)
+
+
+def test_log_folds_alike_in_parts(spark):
+    for seed in range(6):
+        r, rows, last = random.Random(seed), [], 0
+        for pos in range(300):
+            rec = "TRUNC" if r.random() < 0.2 else "ENTRY"
+            index = max(1, last + (1 if rec == "ENTRY" else 0) - (r.randrange(4) if r.random() < 0.3 else 0) + (2 if r.random() < 0.01 else 0))
+            rows.append((pos * 3, rec, index, pos // 10))
+            last = index if rec == "ENTRY" else index - 1
+        records = spark.createDataFrame(rows, "pos long, rec string, `index` long, term long")
+        for part in (1, 7, 100, 10_000):
+            assert sorted(map(tuple, replication.fold_log(records, part).select("pos", "index", "term").collect())) == fold(rows)
+
+
+def test_registered_fold_takes_every_order(spark):
+    keys = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey").collect()]
+    rows = [(k, "TRUNC", k - 2 * (k // 10) - 3, k // 10 + 1) if k % 10 == 9 else (k, "ENTRY", k - 4 * (k // 10) + 1, k // 10 + 1) for k in keys]
+    out = registry.queries()["raft_log_fold"](spark, "/root/testdata/sf0.001")
+    assert max(keys) >= 1000 and sorted(map(tuple, out.collect())) == fold(rows)
+
+
 def test_replicas_converge(spark):
     writes = " ".join(f"key{i:02d}#{i + 1}" for i in range(30)) + " key05#31D"
     one, two = log(spark, writes), log(spark, " ".join(reversed(writes.split())))
