@@ -4,8 +4,8 @@ A public piece vocabulary with byte fallback encodes the words of a text one by
 them: characters per token, the share of byte-fallback tokens, and the entropy of the token distribution. Junk lies off the
 bulk of its language: runs of symbols and capitals break into short tokens, repetition has little entropy, foreign bytes fall
 back. The bands are learned from all rows per language and length (powers of two of the number of tokens): the quartiles of
-each measure, widened by a number of quartile ranges. A length with few rows uses its language's bands, a language with few
-rows those of the whole table. A base rule (too few words, too much repetition) fails a text whatever its tokens.
+each measure, widened by a number of quartile ranges. The bands of a length are drawn towards its language's, the more the
+fewer rows it has; other languages have no part in them. A base rule (too few words, too much repetition) fails a text whatever its tokens.
 
 One result row per input row. Null texts have no words and fail the base rule. A null language is a language of its own. An
 empty table gives an empty result.
@@ -29,8 +29,8 @@ NAME = "op7_quality_rules"
 PIECES = "piece_bpe_32k.model"
 REMEMBERED = 300_000
 LEAST_WORDS = 50
-#: Rows that a language, or a language's texts of one length, need for bands of their own.
-LEAST_ROWS = 100
+#: Rows of one length at which its bands lie halfway between the language's and its own quartiles.
+HALFWAY = 100
 #: Quartile ranges below the lower quartile at which a text is off: in one measure, or in two summed. Above, three times as many.
 REACH, TOGETHER = 3.0, 4.0
 MEASURES = ("chars_per_token", "byte_share", "entropy")
@@ -160,20 +160,23 @@ def with_bands(rows: DataFrame) -> DataFrame:
 
     def bands(keys: list[str], name: str) -> DataFrame:
         found = judged.groupBy(*keys).agg(F.count("*").alias("rows"), *quartiles)
-        return (found.where(F.col("rows") >= LEAST_ROWS) if keys else found).select(*(F.col(k).alias(f"{name}_{k}") for k in keys), F.struct(*MEASURES).alias(name))
+        return found.select(*(F.col(k).alias(f"{name}_{k}") for k in keys), F.struct("rows", *MEASURES).alias(name))
 
-    near, own, whole = bands(["lang", "size"], "near"), bands(["lang"], "own"), bands([], "whole")
+    near, own = bands(["lang", "size"], "near"), bands(["lang"], "own")
     out = rows.join(near, F.col("lang").eqNullSafe(F.col("near_lang")) & (F.col("size") == F.col("near_size")), "left")
-    out = out.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left").join(F.broadcast(whole))  # one row
+    out = out.join(own, F.col("lang").eqNullSafe(F.col("own_lang")), "left")
+    share = F.coalesce(F.col("near.rows") / (F.col("near.rows") + HALFWAY), F.lit(0.0))
 
     def beyond(m: str, upper: bool = False):
-        band = F.coalesce(F.col("near"), F.col("own"), F.col("whole"))[m]
+        own_band = F.col("own")[m]
+        near_band = F.coalesce(F.col("near")[m], own_band)
+        band = [own_band[i] + share * (near_band[i] - own_band[i]) for i in range(3)]
         spread = F.greatest(band[2] - band[0], F.lit(0.005) * band[1], F.lit(0.002))
         return ((F.col(m) - band[2]) if upper else (band[0] - F.col(m))) / spread
 
     short, poor = beyond("chars_per_token"), beyond("entropy")
     off = (short > REACH) | (poor > REACH) | (short + poor > TOGETHER) | (beyond("chars_per_token", True) > 3 * REACH) | (beyond("byte_share", True) > 3 * REACH)
-    return out.withColumn("fits", ~F.coalesce(off, F.lit(False))).drop("near", "own", "whole", "near_lang", "near_size", "own_lang", "size")
+    return out.withColumn("fits", ~F.coalesce(off, F.lit(False))).drop("near", "own", "near_lang", "near_size", "own_lang", "size")
 
 
 def judge(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

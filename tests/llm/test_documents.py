@@ -189,6 +189,17 @@ def test_quality_rules(docs, texts):
     assert not out.where("base_failed and kept").count()
 
 
+def test_small_languages_have_their_own_bands(spark):
+    """Texts of a small language far off those of a large one, with 20, 99, 100 and 101 rows: the same verdicts."""
+    names = ("doc_id", "lang", "n_words", "n_tokens", *op7.MEASURES)
+    large = [(i, "en", 100, 130 + i % 50, 4.5 + i % 10 / 100, 0.0, 6.0 + i % 10 / 100) for i in range(400)]
+    for n in (20, 99, 100, 101):
+        small = [(1000 + i, "xx", 100, 300 + i % 50, 1.5 + i % 10 / 100, 0.3 + i % 10 / 1000, 5.0 + i % 10 / 100) for i in range(n)]
+        junk = [(2000, "xx", 100, 320, 0.2, 0.3, 1.0)]
+        out = op7.with_bands(spark.createDataFrame(large + small + junk, "doc_id long, lang string, n_words long, n_tokens long, chars_per_token double, byte_share double, entropy double").select(*names))
+        assert [r["doc_id"] for r in out.where("not fits").collect()] == [2000]
+
+
 def test_line_dedup(docs, texts):
     unique = sorted({(i, t or "") for i, t in texts})
     first, places = {}, {}
