@@ -4,8 +4,8 @@ A text's lines are its parts between newlines; lines without a word are kept and
 consecutive lines selects its line with the least hash (rightmost on ties) as a fingerprint, so any two places that share
 three lines in a row share a fingerprint, at the same distance from the run's start. Fingerprints that occur at one place
 only are dropped. The windows behind the others are joined to the first place (in the order of doc_id, then of position)
-that has the same lines; matched windows that overlap or touch are extended both ways into one run, and the run is deleted from
-the later text. So a line goes exactly if it lies in a window of three lines that begins earlier elsewhere too; the first
+that has the same lines, by a hash of all their lines; the fingerprints only filter before it. Matched windows that overlap or touch
+make one run, and the run is deleted from the later text. So a line goes exactly if it lies in a window of three lines that begins earlier elsewhere too; the first
 occurrence stays whole.
 
 Native DataFrame expressions only. Each window meets its first place alone, never all others, so a line that is everywhere
