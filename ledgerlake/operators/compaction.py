@@ -38,6 +38,18 @@ def compacted(log: DataFrame, bottom: bool, horizon: int | None = None) -> DataF
     return classify(log, bottom, horizon).where(F.col("fate") == KEPT).drop("fate")
 
 
+def survivors(log: DataFrame, bottom: bool, horizon: int | None = None) -> DataFrame:
+    """One pass for a merge: per row that is no dropped version its fate (kept or dropped_tombstone) and ``replaced``, the number
+    of dropped versions of its key that it stands for."""
+    key = Window.partitionBy("key")
+    newest_first = key.orderBy(F.desc("seq"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    old = F.lit(True) if horizon is None else F.col("seq") <= horizon
+    counted = log.withColumn("_old", old).withColumns({"_nth": F.sum(F.col("_old").cast("int")).over(newest_first), "_all": F.sum(F.col("_old").cast("int")).over(key)})
+    dead = F.col("_old") & (F.col("kind") == DELETE) if bottom else F.lit(False)
+    rows = counted.where(~F.col("_old") | (F.col("_nth") == 1)).withColumns({"fate": F.when(dead, DROPPED_TOMBSTONE).otherwise(KEPT), "replaced": F.when(F.col("_old"), F.col("_all") - 1).otherwise(0)})
+    return rows.drop("_old", "_nth", "_all")
+
+
 def statistics(log: DataFrame, bottom: bool, horizon: int | None = None) -> DataFrame:
     """One row: input, output, dropped versions and dropped tombstones; the last three add up to the first."""
     count = lambda fate: F.count_if(F.col("fate") == fate)

@@ -32,6 +32,14 @@ class InvalidRecord(LedgerError):
     """A record breaks a bound: reserved or too large sequence number, unknown kind, tombstone with a value, too large."""
 
 
+class InvalidBatch(LedgerError):
+    """A batch's rows break a bound, or its sequence numbers are not beyond those before or occur twice. Nothing of it was written."""
+
+
+class SnapshotTooOld(LedgerError):
+    """A merge has dropped versions that the snapshot would see."""
+
+
 class KeyNotFound(LedgerError, KeyError):
     """The key has no live value at the snapshot."""
 
