@@ -3,11 +3,15 @@
 A text's digest is SHA-256 of its content with runs of ASCII blanks made one space (the vocabulary drops blanks, so this
 never changes a count); a tokenizer's digest is SHA-256 of its file. Counts are stored by both. A call joins the digests of
 its texts to the stored counts, encodes only the distinct texts that are missing, appends their counts to the cache, and
-joins them back. Texts move only once, to meet the list of missing digests, dealt by key so that a group of copies is
-spread.
+joins them back. Texts move only once, to meet the list of missing digests, dealt by key and digest so that a group of copies is
+spread. Counts of digests that a large share of all rows have are sent to the rows (``join_listed``).
 
-One result row per input row. A null text counts as empty and has no tokens. Rows that repeat are counted alike. An empty
-table gives an empty result. A digest stored twice (two writers at once) is read once.
+The query keeps its cache in the folder that the setting spark.ledgerlake.tokenCounts names; where that is unset, in a folder
+of its own, so that each call counts anew.
+
+One result row per input row. A null text counts as empty and has no tokens. Rows that repeat are counted alike, also those
+without a doc_id. Other columns are ignored. An empty table gives an empty result. A digest stored twice (two writers at once)
+is read once.
 """
 
 from __future__ import annotations
@@ -15,14 +19,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, shared_folder
-from .wordtokens import WORD_BPE, as_bytes, vocabulary_digest, vocabulary_path, word_tokens
+from .heavy import join_listed
+from .scratch import Scratch
+from .wordtokens import WORD_BPE, vocabulary_digest, vocabulary_path, word_tokens
 
 NAME = "op4_token_counts"
 LIMIT = 2048
+CACHE_SETTING = "spark.ledgerlake.tokenCounts"
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
 
@@ -38,8 +44,7 @@ def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
         for batch in batches:
-            counts = [len(ids) // 4 for ids in tokens.encoded(as_bytes(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(tokens.counts(batch.column("text")), pa.int64())], ["digest", "n_tokens"])
 
     return encode
 
@@ -60,18 +65,25 @@ class TokenCountCache:
     def count(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Per row of docs: key, n_bytes, n_tokens."""
         docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
-        scratch = Scratch(self.spark, "token-counts")
-        rows = scratch.keep(docs.select("_key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest")), "digests")
-        missing = rows.groupBy("digest").agg(F.min("_key").alias("_first")).join(self.stored().select("digest"), "digest", "left_anti")
+        scratch, seen = Scratch(self.spark, "token-counts"), Observation()
+        rows = docs.select("_key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest"))
+        rows = scratch.keep(rows.observe(seen, F.count("*").alias("n")), "digests")
+        groups = scratch.keep(rows.groupBy("digest").agg(F.min("_key").alias("_first"), F.count("*").alias("_rows")), "groups")
+        missing = groups.select("digest", "_first").join(self.stored().select("digest"), "digest", "left_anti")
         # The list of misses is a small fraction of the texts, so it is the hashed side and texts are not sorted.
-        texts = docs.join(missing.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_first"))).where(content_digest(F.col("text")) == F.col("digest"))
+        here = docs.withColumn("_digest", content_digest(F.col("text")))
+        texts = here.join(missing.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_first")) & (F.col("_digest") == F.col("digest")))
         texts.select("digest", "text").mapInArrow(_encode(self.vocabulary), CACHE_SCHEMA).write.mode("append").parquet(self.where)
-        counts = self.stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-        return rows.join(counts, "digest").select(F.col("_key").alias(key), "n_bytes", "n_tokens")
+        scratch.drop()
+        counts = groups.join(self.stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest")
+        counts = scratch.keep(counts.select("digest", "n_tokens", "_rows"), "counts")
+        counted = join_listed(rows, counts, ["digest"], "_rows", seen.get["n"])
+        scratch.drop(groups)
+        return counted.select(F.col("_key").alias(key), "n_bytes", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = Scratch(spark, "token-count-cache").root
+    folder = spark.conf.get(CACHE_SETTING, None) or Scratch(spark, "token-count-cache").root
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = TokenCountCache(spark, folder, vocabulary_path(WORD_BPE)).count(docs)
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
