@@ -26,7 +26,7 @@ class TokenBucket:
             for c in full:
                 del self.state[c]
             if len(self.state) >= self.clients:
-                return False, max(1.0, 1 / self.rate)
+                return False, 1.0
         tokens, at = self.state.get(client, (self.burst, now))
         tokens = min(self.burst, tokens + max(0.0, now - at) * self.rate)
         ok = tokens >= 1
@@ -34,8 +34,19 @@ class TokenBucket:
         return ok, 0.0 if ok else max(1.0, (1 - tokens) / self.rate)
 
 
-def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """Requests (client, at seconds, id) with allowed and retry_after. Each client's requests are folded in order as a stream."""
+def rate_limited(requests: DataFrame, rate: float, burst: float, clients: int | None = None) -> DataFrame:
+    """Requests (client, at seconds, id) with allowed and retry_after. Each client's requests are folded in order as a stream.
+
+    With ``clients`` at most so many clients have a bucket at a time. That is one decision after the other over all requests, so
+    one task takes them in order then, with ``clients`` buckets in memory; it suits the requests of one server.
+    """
+    columns = "client string, at double, id long, allowed boolean, retry_after double"
+
+    def fold_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = TokenBucket(rate, burst, clients)
+        for batch in batches:
+            verdicts = [bucket.allow(name, at) for name, at in zip(batch["client"], batch["at"], strict=True)]
+            yield batch.assign(allowed=[v[0] for v in verdicts], retry_after=[v[1] for v in verdicts])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, client = None, object()
@@ -48,7 +59,9 @@ def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
             yield batch.assign(allowed=[v[0] for v in verdicts], retry_after=[v[1] for v in verdicts])
 
     rows = requests.select(F.col("client").cast("string"), F.col("at").cast("double"), F.col("id").cast("long"))
-    return rows.repartition("client").sortWithinPartitions("client", "at", "id").mapInPandas(fold, "client string, at double, id long, allowed boolean, retry_after double")
+    if clients is not None:
+        return rows.repartition(1).sortWithinPartitions("at", "id").mapInPandas(fold_all, columns)
+    return rows.repartition("client").sortWithinPartitions("client", "at", "id").mapInPandas(fold, columns)
 
 
 def within_budget(writes: DataFrame, budget: int) -> DataFrame:

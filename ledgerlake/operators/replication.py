@@ -15,21 +15,34 @@ PART = 1 << 14
 def fold_log(records: DataFrame, part: int = PART) -> DataFrame:
     """The entries that survive of records (pos, rec, index, term, ...).
 
-    An ENTRY overwrites its index and drops what follows it; TRUNC drops everything from its index. So an entry survives if no
-    later record has an index at or below its own. An entry that leaves a gap starts the log anew, which drops all before it.
+    An ENTRY overwrites its index and drops what follows it; TRUNC drops everything from its index, and nothing if the log ends
+    before it. So an entry survives if no later record has an index at or below its own. An entry beyond the log's end leaves a
+    gap: it starts the log anew, which drops all before it. The end is the last entry's index, or less where a TRUNC since
+    then cut below it.
     """
     edits = records.where(F.col("rec").isin("ENTRY", "TRUNC")).withColumn("_part", F.floor(F.col("pos") / part))
-    end = F.when(F.col("rec") == "ENTRY", F.col("index")).otherwise(F.col("index") - 1)
-    # A log is folded per part; what crosses a part's ends (the end before it, the least index after it) is one row a part.
-    ordered = Window.orderBy("_part")
-    sums = edits.groupBy("_part").agg(F.max_by(end, "pos").alias("_end"), F.min("index").alias("_low"))
-    ends = sums.select("_part", F.lag("_end").over(ordered).alias("_before"), F.min("_low").over(ordered.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    entry = F.col("rec") == "ENTRY"
+    end = F.when(entry, F.col("index")).otherwise(F.col("index") - 1)
+    # Within a part records are folded in order; ``_turn`` counts the entries up to a record, so the least end of a turn is the log's end there.
     in_order = Window.partitionBy("_part").orderBy("pos")
-    last = F.coalesce(F.lag(end).over(in_order), F.col("_before"), F.lit(0))
-    gaps = edits.join(F.broadcast(ends), "_part").withColumn("_reset", (F.col("rec") == "ENTRY") & (F.col("index") > last + 1) & (F.col("index") > 1))
+    turns = edits.withColumn("_turn", F.count_if(entry).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_end", end)
+    # What crosses a part's ends is one row a part: the log's end before it, and the least index after it.
+    by_turn = turns.groupBy("_part", "_turn").agg(F.min("_end").alias("_end"), F.min("index").alias("_low"))
+    sums = by_turn.groupBy("_part").agg(F.max_by("_end", "_turn").alias("_end"), F.max("_turn").alias("_entries"), F.min("_low").alias("_low"))
+    over_parts = Window.orderBy("_part")
+    sums = sums.withColumn("_era", F.sum(F.when(F.col("_entries") > 0, 1).otherwise(0)).over(over_parts.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    in_era = Window.partitionBy("_era").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("_end", F.min("_end").over(in_era))
+    around = sums.select("_part", F.lag("_end").over(over_parts).alias("_before"), F.min("_low").over(over_parts.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    placed = turns.join(F.broadcast(around), "_part")
+    # The end before a record: the least end of the turn that the record before it is in; of the part before, if there is none.
+    least = F.min("_end").over(Window.partitionBy("_part", "_turn").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = placed.withColumn("_reached", F.when(F.col("_turn") == 0, F.least(least, "_before")).otherwise(least))
+    last = F.coalesce(F.lag("_reached").over(in_order), F.col("_before"), F.lit(0))
+    gaps = reached.withColumn("_reset", entry & (F.col("index") > last + 1))
     anew = gaps.where("_reset").agg(F.max("pos").alias("_anew"))
     kept = gaps.withColumn("_least", F.least(F.min("index").over(in_order.rowsBetween(1, Window.unboundedFollowing)), F.col("_after"))).join(F.broadcast(anew))  # one row
-    alive = (F.col("rec") == "ENTRY") & (F.col("_least").isNull() | (F.col("_least") > F.col("index"))) & (F.col("_anew").isNull() | (F.col("pos") >= F.col("_anew")))
+    alive = entry & (F.col("_least").isNull() | (F.col("_least") > F.col("index"))) & (F.col("_anew").isNull() | (F.col("pos") >= F.col("_anew")))
     return kept.where(alive).select(*records.columns)
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ledgerlake import schema
 from ledgerlake.functions import bloom, numbers
 from ledgerlake.operators import compaction, limits, metadata, replication, views, workload, writes
+from ledgerlake.plans.store import Store
 from ledgerlake.schema import text
+from ledgerlake.sources.shared import shared_folder
 from ledgerlake.streaming import live
 
 SNAPSHOT, HORIZON, RUN_ROWS, FLUSH_BYTES = 600, 500, 100, 4096
@@ -51,14 +53,15 @@ def with_runs(log: DataFrame) -> DataFrame:
     return log.withColumn("run", F.floor((F.col("seq") - 1) / RUN_ROWS).cast("long"))
 
 
-def probes(spark: SparkSession, n: int = 200) -> DataFrame:
-    return spark.range(n).select(F.format_string("user:%06d", "id").cast("binary").alias("key"))
+def probes(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer's number as a user's key: most users, and many keys that no one wrote."""
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.format_string("user:%06d", "c_custkey").cast("binary").alias("key"))
 
 
 CL = """cl AS (SELECT printf('user:%06d', user_id) AS key, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS kind,
   CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value FROM events)"""
 RUNS = f"runs AS (SELECT *, CAST((seq - 1) // {RUN_ROWS} AS BIGINT) AS run FROM cl)"
-PROBES = "probes AS (SELECT printf('user:%06d', i) AS key FROM range(200) t(i))"
+PROBES = "probes AS (SELECT printf('user:%06d', c_custkey) AS key FROM customer)"
 COST = "octet_length(encode(key)) + coalesce(octet_length(encode(value)), 0) + 72"
 
 
@@ -88,7 +91,7 @@ STATE = "CASE WHEN n.kind = 1 THEN 'Found' WHEN n.kind = 0 THEN 'Deleted' ELSE '
 
 @_query("multi_get_tristate", f"WITH {CL}, {newest_sql()}, {PROBES} SELECT p.key, {STATE} FROM probes p LEFT JOIN newest n USING (key)")
 def _(spark, d):
-    return views.lookup(events_log(spark, d), probes(spark)).select(*text("key"), "result", *text("value"))
+    return views.lookup(events_log(spark, d), probes(spark, d)).select(*text("key"), "result", *text("value"))
 
 
 @_query("snapshot_view_at", view_sql(f"seq <= {SNAPSHOT}"))
@@ -104,7 +107,7 @@ def _(spark, d):
     SELECT n.key, n.snap, {STATE} FROM n""",
 )
 def _(spark, d):
-    asked = probes(spark).withColumn("snap", F.explode(F.array([F.lit(s * 250).cast("long") for s in range(5)])))
+    asked = probes(spark, d).withColumn("snap", F.explode(F.array([F.lit(s * 250).cast("long") for s in range(5)])))
     return views.lookup_as_of(events_log(spark, d), asked).select(*text("key"), "snap", "result", *text("value"))
 
 
@@ -118,9 +121,12 @@ def _(spark, d):
     return views.scan(events_log(spark, d), b"user:000002", limit=7).select(*text("key", "value"))
 
 
-@_query("range_scan_empty_end", "SELECT '' AS key, '' AS value WHERE FALSE")
+@_query("range_scan_empty_end", f"WITH {CL}, {newest_sql()} SELECT count(*) AS open_end, 0 AS empty_end FROM newest WHERE kind = 1 AND key >= 'user:000002'")
 def _(spark, d):
-    return views.scan(events_log(spark, d), b"user:000002", b"").select(*text("key", "value"))
+    """No end is unbounded; an empty end holds nothing."""
+    log = events_log(spark, d)
+    none = views.scan(log, b"user:000002", b"").agg(F.count("*").cast("int").alias("empty_end"))
+    return views.scan(log, b"user:000002").agg(F.count("*").alias("open_end")).join(F.broadcast(none))  # one row each
 
 
 PAGES = "cl AS (SELECT url AS key, page_id + 1 AS seq, 1 AS kind, html AS value FROM pages)"
@@ -299,7 +305,7 @@ def _(spark, d):
     f"WITH {CL}, {RUNS}, {RUN_META}, {PROBES} SELECT p.key, CAST({SNAPSHOT} AS BIGINT) AS snap, m.num FROM probes p JOIN meta m ON m.min_seq <= {SNAPSHOT} AND p.key BETWEEN m.smallest AND m.largest",
 )
 def _(spark, d):
-    asked = probes(spark).withColumn("snap", F.lit(SNAPSHOT).cast("long"))
+    asked = probes(spark, d).withColumn("snap", F.lit(SNAPSHOT).cast("long"))
     return metadata.may_hold(asked, metadata.describe_runs(with_runs(events_log(spark, d)))).select(*text("key"), "snap", "num")
 
 
@@ -310,7 +316,7 @@ def _(spark, d):
     LEFT JOIN meta m ON m.min_seq <= {SNAPSHOT} AND p.key BETWEEN m.smallest AND m.largest AND (h.hit IS NULL OR m.num >= h.hit) GROUP BY p.key""",
 )
 def _(spark, d):
-    asked = probes(spark).withColumn("snap", F.lit(SNAPSHOT).cast("long"))
+    asked = probes(spark, d).withColumn("snap", F.lit(SNAPSHOT).cast("long"))
     return metadata.probes_until_hit(with_runs(events_log(spark, d)), asked).select(*text("key"), "snap", "consulted")
 
 
@@ -360,7 +366,7 @@ def _(spark, d):
 @_query(
     "human_bytes",
     """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KiB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MiB'
-    ELSE printf('%.1f', n / 1073741824.0) || ' GiB' END AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 4 + 1) * (o_orderkey % 4 + 1) * 997) + 1 AS BIGINT) AS n FROM orders WHERE o_orderkey % 8 <> 0)""",
+    ELSE printf('%.1f', n / 1073741824.0) || ' GiB' END AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 4 + 1) * (o_orderkey % 4 + 1) * 997) + 1 AS BIGINT) AS n FROM orders)""",
 )
 def _(spark, d):
     k = F.pmod("o_orderkey", F.lit(4)) + 1
@@ -446,13 +452,28 @@ def _(spark, d):
     return views.lookup(log, asked).groupBy("result").count()
 
 
-@_query("rate_limiter")
+@_query(
+    "rate_limiter",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS client, epoch_us(ts) / 1e6 AS secs, event_id AS id,
+      row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM events),
+    fold AS (SELECT client, secs, id, n, CAST(1 AS DOUBLE) AS left_over, TRUE AS allowed, CAST(0 AS DOUBLE) AS wait FROM e WHERE n = 1
+      UNION ALL SELECT x.client, x.secs, x.id, x.n, CASE WHEN x.had >= 1 THEN x.had - 1 ELSE x.had END, x.had >= 1, CASE WHEN x.had >= 1 THEN 0 ELSE greatest(1.0, (1 - x.had) * 3600) END
+      FROM (SELECT e.*, least(CAST(2 AS DOUBLE), f.left_over + greatest(0.0, e.secs - f.secs) / 3600) AS had FROM fold f JOIN e ON e.client = f.client AND e.n = f.n + 1) x)
+    SELECT client, id, allowed, round(wait, 2) AS retry_after FROM fold""",
+)
 def _(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("client"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
-    return limits.rate_limited(events.select("client", (F.col("us") / 1e6).alias("at"), "id"), rate=1 / 3600, burst=2)
+    limited = limits.rate_limited(events.select("client", (F.col("us") / 1e6).alias("at"), "id"), rate=1 / 3600, burst=2)
+    return limited.select("client", "id", "allowed", F.round("retry_after", 2).alias("retry_after"))
 
 
-@_query("byte_budget_admission")
+@_query(
+    "byte_budget_admission",
+    f"""WITH RECURSIVE {CL}, w AS (SELECT key AS namespace, seq, CAST({COST} AS BIGINT) AS cost, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM cl),
+    fold AS (SELECT namespace, seq, cost, n, CASE WHEN cost <= 1000 THEN cost ELSE CAST(0 AS BIGINT) END AS used, cost <= 1000 AS admitted FROM w WHERE n = 1
+      UNION ALL SELECT w.namespace, w.seq, w.cost, w.n, f.used + CASE WHEN f.used + w.cost <= 1000 THEN w.cost ELSE 0 END, f.used + w.cost <= 1000 FROM fold f JOIN w ON w.namespace = f.namespace AND w.n = f.n + 1)
+    SELECT namespace, seq, cost, admitted FROM fold""",
+)
 def _(spark, d):
     return limits.within_budget(events_log(spark, d).select(*[F.col("key").cast("string").alias("namespace")], "seq", schema.entry_cost().alias("cost")), 1000)
 
@@ -462,18 +483,25 @@ def _(spark, d):
 
 @_query(
     "raft_log_fold",
-    """WITH rec AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 10 = 9 THEN 'TRUNC' ELSE 'ENTRY' END AS rec, CAST(CASE WHEN o_orderkey % 10 = 9 THEN o_orderkey - 2 * (o_orderkey // 10) - 3
-      ELSE o_orderkey - 4 * (o_orderkey // 10) + 1 END AS BIGINT) AS index, o_orderkey // 10 + 1 AS term FROM orders WHERE o_orderkey < 1000),
-    e AS (SELECT *, min(index) OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS least,
-      lag(CASE WHEN rec = 'ENTRY' THEN index ELSE index - 1 END) OVER (ORDER BY pos) AS last FROM rec),
-    g AS (SELECT *, coalesce(max(CASE WHEN rec = 'ENTRY' AND index > coalesce(last, 0) + 1 AND index > 1 THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS gone FROM e)
-    SELECT pos, index, CAST(term AS BIGINT) AS term FROM g WHERE rec = 'ENTRY' AND (least IS NULL OR least > index) AND gone = 0""",
+    """WITH RECURSIVE rec AS (SELECT o_orderkey AS pos, row_number() OVER (ORDER BY o_orderkey) AS n, CASE WHEN o_orderkey % 10 >= 8 THEN 'TRUNC' ELSE 'ENTRY' END AS rec,
+      CAST(4 * (o_orderkey // 10) + CASE o_orderkey % 10 WHEN 8 THEN 20 WHEN 9 THEN 5 ELSE o_orderkey % 10 + 1 + CASE WHEN o_orderkey % 5003 = 0 THEN 6 ELSE 0 END END AS BIGINT) AS index,
+      o_orderkey // 10 + 1 AS term FROM orders),
+    log AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS high
+      UNION ALL SELECT r.n,
+        CASE WHEN r.rec = 'TRUNC' THEN CASE WHEN r.index <= l.low THEN NULL ELSE l.low END WHEN l.low IS NULL OR r.index < l.low OR r.index > l.high + 1 THEN r.index ELSE l.low END,
+        CASE WHEN r.rec = 'TRUNC' THEN CASE WHEN r.index <= l.low THEN NULL ELSE least(l.high, r.index - 1) END ELSE r.index END
+      FROM log l JOIN rec r ON r.n = l.n + 1),
+    fin AS (SELECT low, high FROM log ORDER BY n DESC LIMIT 1)
+    SELECT max(pos) AS pos, index, CAST(max_by(term, pos) AS BIGINT) AS term FROM rec, fin WHERE rec = 'ENTRY' AND index BETWEEN low AND high GROUP BY index""",
 )
 def _(spark, d):
+    """A log that grows by eight, is cut beyond its end (which does nothing) and back by four; a gap begins it anew now and then."""
+    pos = F.col("pos")
+    tens, ones = F.expr("pos div 10"), F.pmod("pos", F.lit(10))
+    gap = F.when(F.pmod("pos", F.lit(5003)) == 0, 6).otherwise(0)
+    index = 4 * tens + F.when(ones == 8, 20).when(ones == 9, 5).otherwise(ones + 1 + gap)
     orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("pos"))
-    cut = F.pmod("pos", F.lit(10)) == 9
-    tens = F.expr("pos div 10")
-    records = orders.select("pos", F.when(cut, "TRUNC").otherwise("ENTRY").alias("rec"), F.when(cut, F.col("pos") - 2 * tens - 3).otherwise(F.col("pos") - 4 * tens + 1).alias("index"), (tens + 1).alias("term"))
+    records = orders.select(pos, F.when(ones >= 8, "TRUNC").otherwise("ENTRY").alias("rec"), index.alias("index"), (tens + 1).alias("term"))
     return replication.fold_log(records).select("pos", "index", "term")
 
 
@@ -530,10 +558,46 @@ def _(spark, d):
     return views.view(replication.committed_changelog(entries.unionByName(noop), 700)).select(*text("key"), "seq", *text("value"))
 
 
-@_query("replica_diff", "SELECT '' AS key, CAST(0 AS BIGINT) AS seq, '' AS side WHERE FALSE")
+@_query(
+    "replica_diff",
+    f"""WITH {CL}, {newest_sql()}, a AS (SELECT key, seq FROM newest WHERE kind = 1),
+    b AS (SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS nth FROM cl WHERE seq <= (SELECT max(seq) FROM cl) - {HORIZON}) WHERE nth = 1 AND kind = 1)
+    (SELECT key, seq, 'left' AS side FROM a EXCEPT ALL SELECT key, seq, 'left' FROM b) UNION ALL (SELECT key, seq, 'right' FROM b EXCEPT ALL SELECT key, seq, 'right' FROM a)""",
+)
+def _(spark, d):
+    """A replica that is HORIZON entries behind, against one that has them all."""
+    log = events_log(spark, d)
+    behind = log.agg(F.max("seq")).first()[0] - HORIZON
+    return replication.differences(views.view(log).select(*text("key"), "seq"), views.view(log, behind).select(*text("key"), "seq"))
+
+
+@_query("replica_convergence", f"WITH {CL}, {newest_sql()} SELECT count(*) AS entries, 0 AS different FROM newest WHERE kind = 1")
 def _(spark, d):
+    """A replica that applied the log in another order, some of it twice: as many rows, and none that differs."""
     log = events_log(spark, d)
-    return replication.differences(views.view(log).select(*text("key"), "seq"), views.view(log.orderBy(F.desc("seq"))).select(*text("key"), "seq"))
+    one, two = views.view(log), views.view(log.unionByName(log.where(F.pmod("seq", F.lit(3)) == 0)).repartition("seq"))
+    found = replication.differences(one.select(*text("key"), "seq"), two.select(*text("key"), "seq")).agg(F.count("*").cast("int").alias("different"))
+    return two.agg(F.count("*").alias("entries")).join(F.broadcast(found))  # one row each
+
+
+# -- stores
+
+
+@_query("store_reopen_view", view_sql())
+def _(spark, d):
+    """The log in five batches, some flushed and merged, some left in the store's log; another handle reads the view."""
+    at = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    log = events_log(spark, d)
+    last = log.agg(F.max("seq")).first()[0]
+    store = Store.open(spark, at)
+    for n in range(5):
+        store.append(log.where((F.col("seq") > last * n // 5) & (F.col("seq") <= last * (n + 1) // 5)))
+        if n in (0, 1, 3):
+            store.flush()
+        if n == 1:
+            store.compact()
+    store.close()
+    return views.view(Store.open(spark, at).snapshot().log()).select(*text("key"), "seq", *text("value"))
 
 
 # -- streams
@@ -541,16 +605,9 @@ def _(spark, d):
 
 @_query("stream_latest_view", view_sql())
 def _(spark, d):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="ledgerlake-stream-")
+    folder = shared_folder(spark)
     at = f"{folder}/live-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{d}/events.parquet").schema
     changes = schema.from_events(spark.readStream.schema(source).parquet(f"{d}/events*.parquet"))
     live.keep_view(changes, f"{at}/table", f"{at}/state").awaitTermination()
     return live.read_view(spark, f"{at}/table").select(*text("key"), "seq", *text("value"))
-
-
-
