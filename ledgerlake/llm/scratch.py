@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+from ledgerlake.sources.shared import shared_folder
 
 
 class Scratch:
@@ -41,6 +34,9 @@ class Scratch:
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
+        """Also has the driver look for what is no longer used, so that Spark removes the shuffle files of finished steps."""
         for df in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
