@@ -39,9 +39,30 @@ def key_hash(key: bytes) -> int:
     return h ^ h >> 31
 
 
-def _positions(h: int, k: int, bits: int) -> np.ndarray:
-    step = (h >> 32 | h << 32) & _MASK | 1
-    return np.array([(h + i * step & _MASK) % bits for i in range(k)], dtype=np.int64)
+def key_hashes(keys: list[bytes]) -> np.ndarray:
+    """key_hash of many keys, byte by byte of all at once; long keys one by one."""
+    sizes = np.array([len(k) for k in keys], np.int64)
+    out = np.full(len(keys), FNV_BASIS, np.uint64)
+    short = np.flatnonzero(sizes <= 256)
+    width = int(sizes[short].max(initial=0))
+    padded = np.frombuffer(b"".join(keys[i].ljust(width, b"\0") for i in short), np.uint8).reshape(len(short), width) if width else np.zeros((len(short), 0), np.uint8)
+    h = out[short]
+    for at in range(width):
+        on = sizes[short] > at
+        h[on] = (h[on] ^ padded[on, at]) * np.uint64(FNV_PRIME)
+    for shift, multiplier in ((30, MULTIPLIERS[0]), (27, MULTIPLIERS[1])):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(multiplier)
+    out[short] = h ^ (h >> np.uint64(31))
+    for i in np.flatnonzero(sizes > 256):
+        out[i] = key_hash(keys[i])
+    return out
+
+
+def _positions(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """A row of k places for each hash."""
+    step = (h >> np.uint64(32) | h << np.uint64(32)) | np.uint64(1)
+    return ((h[:, None] + np.arange(k, dtype=np.uint64) * step[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
 def build(keys: list[bytes], p: float = 0.01) -> bytes:
@@ -50,17 +71,20 @@ def build(keys: list[bytes], p: float = 0.01) -> bytes:
     per = bits_per_key(p)
     size, k = (max(64, math.ceil(len(distinct) * per)) + 7) // 8, num_hashes(per)
     held = np.zeros(size * 8, bool)
-    for key in distinct:
-        held[_positions(key_hash(key), k, size * 8)] = True
+    held[_positions(key_hashes(distinct), k, size * 8)] = True
     return np.packbits(held, bitorder="little").tobytes() + bytes([k])
 
 
-def may_contain(filter_: bytes, key: bytes) -> bool:
+def may_contain_all(filter_: bytes, keys: list[bytes]) -> np.ndarray:
     """Never False for a key that was added. A malformed filter excludes nothing."""
     if len(filter_) < 2 or not 1 <= filter_[-1] <= 30:
-        return True
-    at = _positions(key_hash(key), filter_[-1], (len(filter_) - 1) * 8)
-    return all(filter_[i >> 3] >> (i & 7) & 1 for i in at.tolist())
+        return np.ones(len(keys), bool)
+    bits = np.unpackbits(np.frombuffer(filter_[:-1], np.uint8), bitorder="little").view(bool)
+    return bits[_positions(key_hashes(keys), filter_[-1], len(bits))].all(axis=1)
+
+
+def may_contain(filter_: bytes, key: bytes) -> bool:
+    return bool(may_contain_all(filter_, [key])[0])
 
 
 def filters_by_run(log: DataFrame, p: float = 0.01, run: str = "run") -> DataFrame:
@@ -72,11 +96,19 @@ def filters_by_run(log: DataFrame, p: float = 0.01, run: str = "run") -> DataFra
     return log.select(F.col(run).cast("long").alias("num"), "key").distinct().groupBy("num").applyInPandas(one, "num long, filter binary")
 
 
-def ask(probes: DataFrame, filters: DataFrame) -> DataFrame:
-    """Probe keys (key, num) with the verdict of their run's filter."""
+def ask(probes: DataFrame, filters: DataFrame, parts: int = 16) -> DataFrame:
+    """Probe keys (key, num) with the verdict of their run's filter. A run's probes are dealt into parts; each meets the filter once."""
+
+    def verdicts(_, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(held):
+            return pd.DataFrame({"key": [], "num": [], "maybe": []})
+        return pd.DataFrame({"key": asked["key"], "num": asked["num"], "maybe": may_contain_all(bytes(held["filter"].iloc[0]), [bytes(k) for k in asked["key"]])})
+
+    dealt = probes.select("key", F.col("num").cast("long").alias("num"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
+    copies = filters.select("num", "filter", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part"))
+    return dealt.groupBy("num", "part").cogroup(copies.groupBy("num", "part")).applyInPandas(verdicts, "key binary, num long, maybe boolean")
 
-    def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "num": batch["num"], "maybe": [may_contain(bytes(f), bytes(k)) for f, k in zip(batch["filter"], batch["key"], strict=True)]})
 
-    return probes.join(filters, "num").select("key", "num", "filter").mapInPandas(verdicts, "key binary, num long, maybe boolean")
+def skipped(probes: DataFrame, filters: DataFrame) -> DataFrame:
+    """Per run: probes asked, and how many of them its filter spared a look into the run."""
+    return ask(probes, filters).groupBy("num").agg(F.count("*").alias("asked"), F.count_if(~F.col("maybe")).alias("skipped"))

@@ -29,13 +29,20 @@ def number_rows(df: DataFrame, order: list[str], name: str, first: int = 1) -> D
     return dealt.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_row") + (first - 1)).drop("_part", "_base", "_row")
 
 
-def nearest_rank(df: DataFrame, group: str, value: str, order: list[str], shares: dict[str, tuple[int, int]]) -> DataFrame:
-    """Per group the value at place min(n - 1, n * a // b) of the sorted values, for each share a / b; and the greatest."""
-    n = F.count("*").over(Window.partitionBy(group))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(value, *order)) - 1
-    ranked = df.select(group, value, *order).withColumn("_n", n).withColumn("_at", place)
-    picked = [F.max(F.when(F.col("_at") == F.least(F.col("_n") - 1, F.expr(f"_n * {a} div {b}")), F.col(value))).alias(name) for name, (a, b) in shares.items()]
-    return ranked.groupBy(group).agg(F.count("*").alias("n"), *picked, F.max(value).alias("greatest"))
+def nearest_rank(df: DataFrame, group: str, value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
+    """Per group the value at place min(n - 1, n * a // b) of the sorted values, for each share a / b; and the greatest.
+
+    Equal values are counted first, where they lie; only the counts of distinct values are put in order.
+    """
+    counts = df.groupBy(group, value).agg(F.count("*").alias("_rows"))
+    upto = F.sum("_rows").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_rows").over(Window.partitionBy(group))})
+
+    def at(a: int, b: int) -> Column:
+        place = F.least(F.col("_n") - 1, F.expr(f"_n * {a} div {b}"))
+        return F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_rows") <= place), F.col(value)))
+
+    return ranked.groupBy(group).agg(F.sum("_rows").alias("n"), *(at(a, b).alias(name) for name, (a, b) in shares.items()), F.max(value).alias("greatest"))
 
 
 def throughput(n: Column, seconds: Column) -> Column:

@@ -435,8 +435,8 @@ MILLIS = "CAST(floor(value * 1000) AS BIGINT)"
     SELECT phase, max(n) AS n, max(latency) FILTER (pos = least(n - 1, n // 2)) AS p50, max(latency) FILTER (pos = least(n - 1, n * 99 // 100)) AS p99, max(latency) AS greatest FROM r GROUP BY phase""",
 )
 def _(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("phase"), F.floor(F.col("value") * 1000).cast("long").alias("latency"), "event_id")
-    return numbers.nearest_rank(rows, "phase", "latency", ["event_id"], {"p50": (1, 2), "p99": (99, 100)})
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("phase"), F.floor(F.col("value") * 1000).cast("long").alias("latency"))
+    return numbers.nearest_rank(rows, "phase", "latency", {"p50": (1, 2), "p99": (99, 100)})
 
 
 @_query("throughput", "SELECT event_type AS phase, count(*) AS ops, round(count(*) / (sum(value) / 1000), 4) AS per_second FROM events GROUP BY event_type")

@@ -90,3 +90,41 @@ def test_bloom():
     assert false <= 150
     assert not bloom.may_contain(bloom.build([]), b"x")
     assert bloom.may_contain(b"", b"x") and bloom.may_contain(b"\0\0\x63", b"x")
+
+
+def test_flush_cuts_do_not_depend_on_parts(spark):
+    import random
+
+    from ledgerlake.operators import writes
+    from ledgerlake.schema import CHANGELOG
+
+    r = random.Random(5)
+    rows = [(bytearray(b"k" * r.randrange(1, 30)), seq, 1, bytearray(b"v" * r.choice((0, 5, 50, 400)))) for seq in sorted(r.sample(range(1, 2000), 500))]
+    for threshold in (1, 150, 700, 5_000, 10**6):
+        want, size, run = [], 0, 0
+        for key, seq, _, value in rows:
+            if size >= threshold:
+                size, run = 0, run + 1
+            cost = len(key) + len(value) + 72
+            size += cost
+            want.append((seq, cost, run))
+        changes = spark.createDataFrame(rows, CHANGELOG)
+        for part in (7, 300, 1 << 18):
+            assert sorted(map(tuple, writes.flush_numbers(changes, threshold, part).collect())) == want
+    assert writes.flush_numbers(changes.limit(0), 10).isEmpty()
+
+
+def test_filter_hash_has_its_fixed_values():
+    """FNV-1a of 64 bits (its published values for nothing and for a) before the finaliser; many keys at once as one by one."""
+    from ledgerlake.functions import bloom
+
+    def finished(h):
+        for shift, m in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * m % 2**64
+        return h ^ h >> 31
+
+    assert bloom.key_hash(b"") == finished(0xCBF29CE484222325) and bloom.key_hash(b"a") == finished(0xAF63DC4C8601EC8C)
+    keys = [b"", b"a", b"ab", b"a" * 256, b"b" * 300, b"\x00\xff"]
+    assert bloom.key_hashes(keys).tolist() == [bloom.key_hash(k) for k in keys]
+    held = bloom.build(keys)
+    assert bloom.may_contain_all(held, keys).all() and bloom.may_contain(held, b"ab")
