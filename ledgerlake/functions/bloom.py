@@ -104,8 +104,8 @@ def ask(probes: DataFrame, filters: DataFrame, parts: int = 16) -> DataFrame:
             return pd.DataFrame({"key": [], "num": [], "maybe": []})
         return pd.DataFrame({"key": asked["key"], "num": asked["num"], "maybe": may_contain_all(bytes(held["filter"].iloc[0]), [bytes(k) for k in asked["key"]])})
 
-    dealt = probes.select("key", F.col("num").cast("long").alias("num"), F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
-    copies = filters.select("num", "filter", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part"))
+    dealt = probes.select("key", F.col("num").cast("long").alias("num"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("long").alias("part"))
+    copies = filters.select("num", "filter", F.explode(F.array([F.lit(i).cast("long") for i in range(parts)])).alias("part"))
     return dealt.groupBy("num", "part").cogroup(copies.groupBy("num", "part")).applyInPandas(verdicts, "key binary, num long, maybe boolean")
 
 
