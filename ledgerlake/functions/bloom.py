@@ -96,7 +96,7 @@ def filters_by_run(log: DataFrame, p: float = 0.01, run: str = "run") -> DataFra
     return log.select(F.col(run).cast("long").alias("num"), "key").distinct().groupBy("num").applyInPandas(one, "num long, filter binary")
 
 
-def ask(probes: DataFrame, filters: DataFrame, parts: int = 16) -> DataFrame:
+def ask(probes: DataFrame, filters: DataFrame, parts: int = 2) -> DataFrame:
     """Probe keys (key, num) with the verdict of their run's filter. A run's probes are dealt into parts; each meets the filter once."""
 
     def verdicts(_, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:

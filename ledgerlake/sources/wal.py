@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.functions.codecs import decode_record, encode_frame, encode_record, replay
+from ledgerlake.functions.codecs import MAX_COMMAND, LogRecord, decode_record, encode_frame, encode_log_record, encode_record, replay, replay_consensus
 from ledgerlake.schema import CHANGELOG, CorruptData
 
 READ = "path string, key binary, seq long, kind tinyint, value binary"
@@ -52,3 +52,34 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def frames(log: DataFrame) -> DataFrame:
     """Framed records in order of sequence number within each partition; their concatenation is a log file."""
     return log.select(*CHANGELOG.names).sortWithinPartitions("seq").mapInPandas(_encode, "frame binary")
+
+
+CONSENSUS = "path string, pos long, rec string, term long, `index` long, voted_for string, command binary"
+
+
+def _decode_consensus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            rows = [(path, pos, r.rec, r.term, r.index, r.voted_for, r.command) for pos, r in enumerate(replay_consensus(bytes(content)), 1)]
+            found = pd.DataFrame(rows, columns=["path", "pos", "rec", "term", "index", "voted_for", "command"])
+            yield found.astype({"term": "Int64", "index": "Int64"})
+
+
+def read_consensus_logs(spark: SparkSession, folder: str, names: str = "*.raft") -> DataFrame:
+    """Records (path, pos, rec, term, index, voted_for, command) of the replicated logs in a folder, one file a node: what
+    replication.fold_log and hard_state take, node by node."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
+    return files.select("path", "content").mapInPandas(_decode_consensus, CONSENSUS)
+
+
+def _encode_consensus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    whole = lambda x: None if pd.isna(x) else int(x)
+    for batch in batches:
+        rows = zip(batch["rec"], batch["term"], batch["index"], batch["voted_for"], batch["command"], strict=True)
+        frames = [encode_frame(encode_log_record(LogRecord(rec, whole(term), whole(index), voted, None if command is None else bytes(command))), MAX_COMMAND + 64) for rec, term, index, voted, command in rows]
+        yield pd.DataFrame({"frame": frames})
+
+
+def consensus_frames(records: DataFrame) -> DataFrame:
+    """Framed records in order of pos within each partition; their concatenation is a replicated log's file."""
+    return records.select("pos", "rec", "term", "index", "voted_for", "command").sortWithinPartitions("pos").mapInPandas(_encode_consensus, "frame binary")

@@ -128,3 +128,29 @@ def test_filter_hash_has_its_fixed_values():
     assert bloom.key_hashes(keys).tolist() == [bloom.key_hash(k) for k in keys]
     held = bloom.build(keys)
     assert bloom.may_contain_all(held, keys).all() and bloom.may_contain(held, b"ab")
+
+
+def test_consensus_log_round_trip(spark, tmp_path):
+    """A file of votes, entries and truncations; cut anywhere it has whole records only, and folds to what is left."""
+    from ledgerlake.functions import codecs
+    from ledgerlake.operators import replication
+    from ledgerlake.sources import wal
+
+    made = [("HARD", 3, None, "node-b", None), *(("ENTRY", 3, i, None, b"c" * i) for i in range(1, 6)), ("TRUNC", None, 4, None, None), ("ENTRY", 4, 4, None, b""), ("HARD", 5, None, "", None)]
+    shape = "pos long, rec string, term long, `index` long, voted_for string, command binary"
+    records = spark.createDataFrame([(n, *r) for n, r in enumerate(made, 1)], shape).coalesce(1)
+    frames = [bytes(r["frame"]) for r in wal.consensus_frames(records).collect()]
+    data = b"".join(frames)
+    ends = [sum(map(len, frames[:n])) for n in range(len(frames) + 1)]
+    for at in range(len(data) + 1):
+        assert len(codecs.replay_consensus(data[:at])) == max(n for n, end in enumerate(ends) if end <= at)
+    damaged = bytearray(data)
+    damaged[ends[2] + 10] ^= 1
+    with pytest.raises(codecs.CorruptData):
+        codecs.replay_consensus(bytes(damaged))
+    (tmp_path / "one.raft").write_bytes(data + b"\0" * 100)
+    read = wal.read_consensus_logs(spark, f"file://{tmp_path}")
+    assert sorted((r["pos"], r["rec"], r["term"], r["index"], r["voted_for"], None if r["command"] is None else bytes(r["command"])) for r in read.collect()) == sorted((n, *r) for n, r in enumerate(made, 1))
+    left = replication.fold_log(read).orderBy("index").collect()
+    assert [(r["index"], r["term"], bytes(r["command"])) for r in left] == [(1, 3, b"c"), (2, 3, b"cc"), (3, 3, b"ccc"), (4, 4, b"")]
+    assert tuple(replication.hard_state(read).first()) == (5, "")
