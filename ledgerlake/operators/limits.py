@@ -64,8 +64,9 @@ def rate_limited(requests: DataFrame, rate: float, burst: float, clients: int |
     return rows.repartition("client").sortWithinPartitions("client", "at", "id").mapInPandas(fold, columns)
 
 
-def within_budget(writes: DataFrame, budget: int) -> DataFrame:
-    """Writes (namespace, seq, cost) with admitted: a write passes if what was admitted before leaves room; refused ones take none."""
+def within_budget(writes: DataFrame, budget: int, order: str = "seq") -> DataFrame:
+    """Writes (namespace, seq, cost) with admitted: a write passes if what was admitted before, in the given order, leaves room;
+    refused ones take none."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         used, at = 0, object()
@@ -79,5 +80,6 @@ def within_budget(writes: DataFrame, budget: int) -> DataFrame:
                 admitted.append(ok)
             yield batch.assign(admitted=admitted)
 
-    rows = writes.select(F.col("namespace").cast("string"), F.col("seq").cast("long"), F.col("cost").cast("long"))
-    return rows.repartition("namespace").sortWithinPartitions("namespace", "seq").mapInPandas(fold, "namespace string, seq long, cost long, admitted boolean")
+    rows = writes.select(F.col("namespace").cast("string"), F.col("seq").cast("long"), F.col("cost").cast("long"), F.col(order).alias("_at"))
+    rows = rows.repartition("namespace").sortWithinPartitions("namespace", "_at").drop("_at")
+    return rows.mapInPandas(fold, "namespace string, seq long, cost long, admitted boolean")

@@ -466,6 +466,11 @@ class Store:
             "gets": r["gets"], "lookups": r["lookups"], "run_probes": r["probes"], "runs_skipped": r["skips"],
         }
 
+    def public_stats(self) -> dict[str, float]:
+        """Aggregates that tell nothing of keys or readers, for anyone to see."""
+        shown = ("last_seq", "log_entries", "log_size", "flush_threshold", "runs", "run_bytes", "flushes", "merges", "write_amplification", "runs_skipped")
+        return {k: round(v, 2) for k, v in self.stats().items() if k in shown}
+
     def space_amplification(self) -> float:
         """Bytes of all versions in the runs over bytes of their live rows; reads all runs."""
         return metadata.space_amplification(self.read_runs(self.state.runs)).first()["amplification"]

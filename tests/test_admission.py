@@ -115,3 +115,55 @@ def test_stream_rate_limit(spark, tmp_path):
 
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_commands_reach_the_sink_in_order(spark, tmp_path):
+    """Batches come with rising numbers, each in order of index; a restart hands on only what is new."""
+    shape = "`index` long, command string"
+    spark.createDataFrame([(i, f"c{i}") for i in random.Random(1).sample(range(1, 60), 59)], shape).repartition(3).write.parquet(f"{tmp_path}/in/one")
+    seen = []
+    commands = spark.readStream.schema(shape).parquet(f"{tmp_path}/in/*")
+    for n in (1, 2):
+        if n == 2:
+            spark.createDataFrame([(61, "c61"), (60, "c60")], shape).write.parquet(f"{tmp_path}/in/two")
+        live.apply_in_order(commands, f"{tmp_path}/state", lambda batch, number: seen.append((number, [r["index"] for r in batch.collect()]))).awaitTermination()
+    assert [number for number, _ in seen] == sorted({number for number, _ in seen})
+    assert [i for _, batch in seen for i in batch] == list(range(1, 62))
+
+
+def test_sandbox_against_a_plain_model(spark):
+    from ledgerlake.operators import sandbox
+    from ledgerlake.schema import DELETE, SET
+
+    lim = sandbox.SandboxLimits(key_bytes=8, value_bytes=40, total_bytes=1500, client_rate=6, total_rate=60)
+    r, rows, at = random.Random(2), [], 0.0
+    for i in range(150):
+        at += r.choice((0.0, 0.25, 2.0))
+        kind = DELETE if r.random() < 0.2 else SET
+        rows.append((r.choice("abc"), at, 500 - i, bytearray(b"k" * r.choice((0, 3, 8, 9))), kind, None if kind == DELETE else bytearray(b"v" * r.choice((0, 40, 41)))))
+    clients, everyone, used, want = {}, [10.0, None], 0, {}
+
+    def take(bucket, now, rate, burst):
+        bucket[0] = min(burst, bucket[0] + (0 if bucket[1] is None else now - bucket[1]) * rate)
+        bucket[1] = now
+        if bucket[0] < 1:
+            return False
+        bucket[0] -= 1
+        return True
+
+    for client, now, i, key, kind, value in sorted(rows, key=lambda x: (x[1], x[2])):
+        cost = len(key) + 5 + len(value or b"") + 164
+        if not take(clients.setdefault(client, [2.0, None]), now, 0.1, 2.0) or not take(everyone, now, 1.0, 10.0):
+            want[i] = sandbox.TOO_OFTEN
+        elif not 0 < len(key) <= 8:
+            want[i] = sandbox.BAD_KEY
+        elif len(value or b"") > 40:
+            want[i] = sandbox.BAD_VALUE
+        elif used + cost > 1500:
+            want[i] = sandbox.FULL
+        else:
+            used, want[i] = used + cost, sandbox.OK
+    judged = sandbox.admit(spark.createDataFrame(rows, "client string, at double, id long, key binary, kind int, value binary"), lim)
+    assert {x["id"]: x["verdict"] for x in judged.collect()} == want and len(set(want.values())) == 5
+    writes = sandbox.admitted_writes(judged, lim).collect()
+    assert len(writes) == list(want.values()).count("ok") and all(bytes(x["key"]).startswith(b"demo/") for x in writes)
