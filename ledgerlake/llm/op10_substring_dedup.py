@@ -8,12 +8,14 @@ have equal minimisers, so only super-k-mers whose minimiser occurs twice can hol
 2. Minimisers are counted; super-k-mers of those that occur once are done.
 3. A super-k-mer whose whole content occurs twice has only repeated windows. Copies of any number thus meet as counts.
 4. Where a minimiser has several contents, one super-k-mer of each content travels, as one packed string, to the bucket of its
-   minimiser. There its windows are unpacked and sorted, and windows of equal words are counted exactly.
+   minimiser. There its windows are unpacked and sorted, and windows of equal words are counted exactly. The windows of a
+   minimiser with HEAVY of all contents are dealt by their own hash instead and added up before they are shuffled.
 5. Verdicts go back to all occurrences of a content; the covered words are removed from the texts.
 
-Windows are judged on the input. Words are runs of anything but ASCII blanks, unchanged. Null or wordless texts and texts of
-fewer than 35 words lose nothing. Rows that repeat remove each other's windows. An empty table gives an empty result. Windows
-are compared by 128 bits of hashes besides their minimiser's 64.
+Minimisers, contents and windows that hold a large share of all rows are sent to the rows (``join_listed``), so no key makes one
+task. Windows are judged on the input. Words are runs of anything but ASCII blanks, unchanged. Null or wordless texts and texts of
+fewer than 35 words lose nothing. Rows that repeat remove each other's windows, also without a doc_id. Other columns are ignored.
+An empty table gives an empty result. Windows are compared by 64 bits of hash besides their minimiser's 64.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .heavy import HEAVY, join_listed
 from .scratch import Scratch
 from .wordtokens import as_bytes
 
@@ -129,31 +132,54 @@ def _without(width: int):
 def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH, core: int = CORE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profiles of all rows; spans (row, start, size) of repeated windows; and the texts of rows that may hold some, by (k1, k2)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(1), "doc_id", "text")})
-    profiles = scratch.keep(docs.mapInArrow(_profile(width, core), PROFILE), "profiles")
+    seen = Observation()
+    profiles = docs.mapInArrow(_profile(width, core), PROFILE).observe(seen, F.coalesce(F.sum(F.size("minimisers")), F.lit(0)).alias("n"))
+    profiles = scratch.keep(profiles, "profiles")
+    total = seen.get["n"]
     each = profiles.select("row", F.explode(F.arrays_zip("minimisers", "contents", "starts", "sizes")).alias("s")).select(
         F.col("s.minimisers").alias("minimiser"), F.col("s.contents").alias("content"), "row", F.col("s.starts").alias("start"), F.col("s.sizes").alias("size")
     )
-    twice = each.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser")
-    held = scratch.keep(each.join(twice, "minimiser"), "candidates")
-
-    contents = scratch.keep(held.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "size")).alias("one")), "contents")
-    several = contents.groupBy("minimiser").agg(F.count("*").alias("kinds")).where("kinds > 1").select("minimiser")
-    asked = contents.join(several, "minimiser").groupBy("one.row").agg(F.collect_list(F.struct("minimiser", "content", "n", F.col("one.start").alias("start"), F.col("one.size").alias("size"))).alias("asked"))
+    twice = scratch.keep(each.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1"), "minimisers")
+    held = scratch.keep(join_listed(each, twice, ["minimiser"], "n", total), "candidates")
+    scratch.drop(twice)
+
+    # Equal contents have equal sizes; of the row with the least number any place of the content will do.
+    made, seen = held.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min_by("start", "row").alias("start"), F.first("size").alias("size")), Observation()
+    contents = scratch.keep(made.observe(seen, F.count("*").alias("n")), "contents")
+    kinds = seen.get["n"]
+    several = scratch.keep(contents.groupBy("minimiser").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
+    crowded = F.broadcast(several.where(F.col("kinds") >= max(2, kinds * HEAVY)).select("minimiser"))  # 1 / HEAVY rows at most
+    asked = join_listed(contents, several, ["minimiser"], "kinds", kinds).groupBy("row").agg(F.collect_list(F.struct("minimiser", "content", "n", "start", "size")).alias("asked"))
 
     rows = held.select("row").distinct().join(profiles.select("row", "k1", "k2"), "row")
     # The list of rows is far smaller than their texts: it is the hashed side, and texts are not sorted.
     wanted = rows.select("k1", "k2").distinct()
     texts = scratch.keep(docs.join(wanted.hint("shuffle_hash"), ["k1", "k2"], "left_semi").select("k1", "k2", "text").dropDuplicates(["k1", "k2"]), "texts")
+    scratch.drop()
 
     travel = asked.join(profiles.select("row", "k1", "k2"), "row").join(texts, ["k1", "k2"]).select("text", "asked").mapInArrow(_packed(width), "minimiser long, content long, n long, packed string")
-    bucket = travel.repartition("minimiser").withColumn("words", F.split("packed", " ")).select("minimiser", "content", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (width - 1)), lambda i: F.xxhash64(F.slice("words", i, width)))).alias("skip", "window"))
-    total = F.sum("n").over(Window.partitionBy("minimiser", "window"))
-    found = bucket.withColumn("total", total).where("total > 1").groupBy("minimiser", "content").agg(F.collect_list("skip").alias("skips"))
+    travel = scratch.keep(travel, "packed")
+
+    def windows(packed: DataFrame) -> DataFrame:
+        hashes = F.transform(F.sequence(F.lit(1), F.size("words") - (width - 1)), lambda i: F.xxhash64(F.slice("words", i, width)))
+        return packed.withColumn("words", F.split("packed", " ")).select("minimiser", "content", "n", F.posexplode(hashes).alias("skip", "window"))
+
+    together = F.sum("n").over(Window.partitionBy("minimiser", "window"))
+    sorted_there = windows(travel.join(crowded, "minimiser", "left_anti").repartition("minimiser")).withColumn("total", together).where("total > 1")
+    apart, seen = windows(travel.join(crowded, "minimiser", "left_semi")), Observation()
+    apart = scratch.keep(apart.observe(seen, F.count("*").alias("n")), "crowded")
+    counted = scratch.keep(apart.groupBy("minimiser", "window").agg(F.sum("n").alias("total"), F.count("*").alias("places")).where("total > 1").drop("total"), "crowded-windows")
+    dealt = join_listed(apart, counted, ["minimiser", "window"], "places", seen.get["n"])
+    columns = ["minimiser", "content", "skip"]
+    found = sorted_there.select(columns).unionByName(dealt.select(columns)).groupBy("minimiser", "content").agg(F.collect_list("skip").alias("skips"))
     verdicts = contents.select("minimiser", "content", "n").join(found, ["minimiser", "content"], "left").where("n > 1 or skips is not null")
-    repeated = held.join(verdicts, ["minimiser", "content"]).select(
+    verdicts = scratch.keep(verdicts.withColumn("rows", F.col("n")), "verdicts")
+    scratch.drop(travel, apart, counted, several, contents)
+    repeated = join_listed(held, verdicts, ["minimiser", "content"], "rows", total).select(
         "row", F.explode(F.when(F.col("n") > 1, F.array(F.struct("start", "size"))).otherwise(F.transform("skips", lambda x: F.struct((F.col("start") + x).alias("start"), F.lit(1).alias("size"))))).alias("span")
     )
     spans = scratch.keep(repeated.groupBy("row").agg(F.collect_list("span").alias("spans")), "spans")
+    scratch.drop(held, verdicts)
     return profiles, spans, texts
 
 
