@@ -4,12 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 All but the last return the columns of documents:
 
 - quality: rows that the classifier rejects go;
-- lines: later repeats of lines, single ones too, are deleted from texts (a text that loses all its lines stays as an empty one);
-- near_duplicates: of each group of near-duplicates the row with the least doc_id stays; empty texts are no group;
-- decontamination: rows that hold benchmark passages on a twentieth of their words go;
+- lines: later repeats of runs of lines (ten words or three lines) are deleted from texts; rows whose text loses all its lines go;
+- near_duplicates: of each group of near-duplicates one row stays, that of the least doc_id (rows without one come last; of rows
+  with one doc_id, that whose text has the least hash); rows with empty texts are no group and stay;
+- decontamination: rows that hold a benchmark window of 13 words go, and rows with benchmark items on a twentieth of their words;
 - packing: the rest becomes sequences of 2048 tokens, one row per piece.
 
-A null doc_id stays through the first two stages and is one row's own group in the third. Empty tables pass through.
+Stages judge rows, not doc_ids: rows that share a doc_id but not a text fare by their texts. Rows alike in both are one row of
+a group in near_duplicates and fare alike elsewhere. Any column may be null. Columns beyond those of documents go in the
+first stage. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from ledgerlake.llm.scratch import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: SQL cannot express the classifier, the signatures or the packing; tests compare the stages with brute-force versions.
+#: SQL cannot express the classifier, the signatures or the packing; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -31,19 +34,44 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op9_line_dedup.dedup_lines(docs.select(*COLUMNS), run=1).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = op9_line_dedup.dedup_lines(docs.select(*COLUMNS)).where("n_removed = 0 or n_removed < n_lines")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def _without(docs: DataFrame, key: list[str], gone: DataFrame) -> DataFrame:
+    """The rows of docs (with the columns of key) that are not listed. The list is short beside the texts: it is the hashed
+    side, and texts are not sorted."""
+    listed = gone.select(*(F.col(c).alias(f"gone_{c}") for c in key)).distinct().hint("shuffle_hash")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"gone_{c}"))
+    return docs.join(listed, same, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = op1_near_duplicates.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    # A short list beside all texts: it is the hashed side, and texts are not sorted.
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    found = op1_near_duplicates.near_duplicates(docs).where("group is not null").select("doc_id", "mark", "group", "component_id")
+    found = Scratch(spark, "pipeline-groups").keep(found, "groups")
+    leading = found.where("doc_id <=> component_id").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("rows"))
+    first = leading.groupBy("group").agg(F.min("mark").alias("first"))
+    leading = leading.join(first, "group")
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id", "mark").unionByName(leading.where("mark <> first").select("doc_id", "mark"))
+    again = leading.where("mark = first and rows > 1").select("doc_id", "mark")
+    key = ["doc_id", "mark"]
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"))
+    if again.isEmpty():
+        return _without(docs, key, gone).select(*COLUMNS)
+    # Rows alike in doc_id and text: one of them stays.
+    listed = again.select(*(F.col(c).alias(f"again_{c}") for c in key)).hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("again_doc_id")) & (F.col("mark") == F.col("again_mark"))
+    one = docs.join(listed, same, "left_semi").dropDuplicates(key)
+    return _without(docs, key, gone.unionByName(again)).unionByName(one).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op2_decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    docs = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    found = op2_decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row", near=0)
+    gone = Scratch(spark, "pipeline-contaminated").keep(found.where("n_windows > 0 or contaminated").select("row"), "rows")
+    return _without(docs, ["row"], gone).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
