@@ -2,8 +2,11 @@
 
 Restoring is a noisy channel. A character model (trigrams over 64 classes of bytes, counted over every text) says what words
 look like; a channel says what writers do to them: digits and signs for letters, letters repeated, letters spaced out or
-separated. Words that show such signs become a lattice of readings, and Viterbi search with a bounded beam takes the cheapest.
-Plain words are left as they are.
+separated. Words that show such signs become a lattice of readings, and Viterbi search over all states (the last two classes)
+takes the cheapest, however long the word is. A word shows signs if, without the signs at its edges, it has a letter and with
+it a digit or sign that may stand for one (three characters in all at least), an ASCII letter three times running, or two
+separators or more with at most two letters more than those. Three words or more of one letter or sign in a row are read as one
+word with blanks in it. All other words are plain and left as they are.
 
 Scoring is learned from a bounded sample of the labelled training rows (TRAINING), copies of a text counting once. A feature is a hash of a restored word, or of its
 first 4, 5 or 6 bytes. Features of toxic texts are counted, then counted in clean texts (a bitmap of fixed size says which ones
@@ -40,7 +43,6 @@ LEAST_TEXTS, LEAST_ODDS = 2, 1.5
 PREFIXES = (4, 5, 6)
 #: Features below which a text is no shorter to the logistic function: few short texts are there to fit it.
 SHORT = 200
-BEAM = 24
 
 #: What a sign may stand for.
 SIGNS = {
@@ -54,6 +56,7 @@ KEEP, SWAP, REPEAT, SEPARATE, STAY = 0.0, 0.8, 0.6, 0.3, 7.0
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _SIGN = np.isin(np.arange(256), [ord(c) for c in SIGNS if ord(c) < 128])
+_LONG_SIGNS = [np.frombuffer(c.encode(), np.uint8) for c in SIGNS if ord(c) >= 128]
 _SEPARATOR = np.isin(np.arange(256), np.frombuffer(b".-_*~", np.uint8))
 _EDGE = np.isin(np.arange(256), np.frombuffer(b".,!?;:*#$%&|\"')]}([{~-_", np.uint8))
 
@@ -98,7 +101,8 @@ def restore(word: str, model: CharacterModel) -> str:
     """The cheapest reading of a word (which may hold spaces between single letters), in lower case."""
     cost = model.cost
     word = word.lower()
-    states = {(0, 0): (0.0, "")}
+    # Per state the cost so far and the way there: (the way before, what was read).
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for i, c in enumerate(word):
         options = []
@@ -113,36 +117,37 @@ def restore(word: str, model: CharacterModel) -> str:
             if c == before:
                 options.append(("", REPEAT))
             options.append((c if c.isdigit() else " ", STAY))
-        fresh: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, made) in states.items():
-            for x, price in options:
+        read = [(x, price, [int(CLASS[byte]) for byte in x.encode()]) for x, price in options]
+        fresh: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (so_far, way) in states.items():
+            for x, price, classes in read:
                 at, total = (a, b), so_far + price
-                if x:
-                    for byte in x.encode():
-                        k = int(CLASS[byte])
-                        total += float(cost[at[0], at[1], k])
-                        at = (at[1], k)
+                for k in classes:
+                    total += float(cost[at[0], at[1], k])
+                    at = (at[1], k)
                 if at not in fresh or total < fresh[at][0]:
-                    fresh[at] = (total, made + x)
-        states = dict(sorted(fresh.items(), key=lambda s: s[1][0])[:BEAM])
+                    fresh[at] = (total, (way, x) if x else way)
+        states = fresh
         before = c
-    return min((so_far + float(cost[a, b, 0]), made) for (a, b), (so_far, made) in states.items())[1]
+    _, way = min(((so_far + float(cost[a, b, 0]), way) for (a, b), (so_far, way) in states.items()), key=lambda s: s[0])
+    made = []
+    while way is not None:
+        way, x = way
+        made.append(x)
+    return "".join(reversed(made))
 
 
 def _stripped(buf: np.ndarray, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     """Words without the signs at their edges; a sign for a letter at the front stays if a letter or sign follows."""
     start, end = w.start.copy(), w.end.copy()
-    for _ in range(8):
-        inside = end > start
-        if not inside.any():
-            break
-        cut = inside & _EDGE[buf[np.maximum(end - 1, 0)]]
-        end -= cut
-        front = (end > start) & np.isin(buf[np.minimum(start, len(buf) - 1)], np.frombuffer(b"\"'([{.,;:", np.uint8))
-        start += front
-        if not (cut.any() or front.any()):
-            break
-    return start, np.maximum(end, start)
+    front = np.isin(np.arange(256), np.frombuffer(b"\"'([{.,;:", np.uint8))
+    for edge, place, step, flags in ((end, -1, -1, _EDGE), (start, 0, 1, front)):
+        left = np.flatnonzero(end > start)
+        while len(left):
+            left = left[flags[buf[edge[left] + place]]]
+            edge[left] += step
+            left = left[end[left] > start[left]]
+    return start, end
 
 
 def suspects(chunk: K.Chunk, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,11 +158,16 @@ def suspects(chunk: K.Chunk, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.nda
         return start, end, np.zeros(0, bool), np.zeros(0, np.int64)
     sums = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     per = lambda total: total[end] - total[start]
-    letters, signs, separators = per(sums(LETTERS[buf])), per(sums(_SIGN[buf])), per(sums(_SEPARATOR[buf]))
+    sign = _SIGN[buf]
+    for long in _LONG_SIGNS:
+        found = np.ones(max(len(buf) - len(long) + 1, 0), bool)
+        for k, byte in enumerate(long):
+            found &= buf[k : len(found) + k] == byte
+        sign[: len(found)] |= found
+    letters, signs, separators = per(sums(LETTERS[buf])), per(sums(sign)), per(sums(_SEPARATOR[buf]))
     triple = np.zeros(len(buf), bool)
     triple[2:] = (buf[2:] == buf[1:-1]) & (buf[2:] == buf[:-2]) & LETTERS[buf[2:]] & (buf[2:] < 128)
-    size = end - start
-    odd = ((letters >= 2) & (signs > 0) & (size <= 40)) | ((per(sums(triple)) > 0) & (size <= 60)) | ((separators >= 2) & (letters >= 3) & (letters <= separators + 2))
+    odd = ((letters >= 1) & (signs > 0) & (letters + signs >= 3)) | (per(sums(triple)) > 0) | ((separators >= 2) & (letters >= 3) & (letters <= separators + 2))
     single = ((w.end - w.start == 1) & (LETTERS[buf[w.start]] | _SIGN[buf[w.start]])).astype(np.int64)
     text = np.searchsorted(w.first, np.arange(len(start)), side="right")
     change = np.ones(len(single), bool)
@@ -191,10 +201,7 @@ class Restorer:
         found: list[tuple[int, str]] = [(int(text[i]), self.read(raw[start[i] : end[i]])) for i in np.flatnonzero(odd)]
         spaced = np.flatnonzero(run >= 0)
         for part in np.split(spaced, np.flatnonzero(np.diff(run[spaced])) + 1) if len(spaced) else []:
-            # Long runs of single letters are read in overlapping pieces.
-            for a in range(0, len(part), 24):
-                piece = part[a : a + 32]
-                found.append((int(text[piece[0]]), self.read(b" ".join(raw[w.start[i] : w.end[i]] for i in piece))))
+            found.append((int(text[part[0]]), self.read(b" ".join(raw[w.start[i] : w.end[i]] for i in part))))
         pieces = [(t, x) for t, made_text in found for x in made_text.split()]
         if pieces:
             again = K.Chunk(0, len(pieces), *_joined([x for _, x in pieces]))
