@@ -6,17 +6,17 @@ chunk is stored under its 4 keys with one symbol masked, and all pairs within 23
 twelve symbols differ on average and more than 23 in about one pair of ten thousand.) Pairs that share a key are kept if
 their whole signatures differ in at most 23 symbols, and are then confirmed on the full sets.
 
-Texts with equal sets are one class from the start. Within a bucket no list of all pairs is made. First every member is
-tried against the bucket's least member, and the confirmed links are made into components. Members of buckets that still hold
-several components are dropped where they can't have another link: too few of their shingles occur in any other of those
-members. Then the rest are tried against a member of another component in some of their buckets. At last every pair of a bucket
-that is still in two different components, and whose bitmaps of shingles don't rule a link out, is
-tried. All pairs that share a key are thus either confirmed, refuted or already in one component, so the components are
-those of all pairs, whatever a bucket's size.
-
-One result row per input row. Null and wordless texts have empty sets and stand alone; so do rows
-without a doc_id. Rows that share a doc_id share its component. With fewer than five words the whole
-sequence is one shingle. Rows that repeat are one class. An empty table gives an empty result.
+Texts with equal sets are one class from the start, and classes have numbers of their own. Within a bucket no list of all pairs is
+made. First every member is tried against the bucket's least member, then against a member of another component in some of its
+buckets, and confirmed links are made into components. What then still lies in a bucket with several components is joined by
+rare shingles: a set that shares 3/4 with another has one of the other's shingles among its own rarest quarter, so
+members meet where those meet, but for pairs of the shingle's largest component, which hold already. All pairs that share a key are
+thus confirmed, refuted or already in one component, so the components are those of all pairs, whatever a bucket's size.
+
+One result row per input row. Null and wordless texts have empty sets and stand alone. With fewer than five words the whole
+sequence is one shingle. Rows that repeat are one class. Rows that share a doc_id are linked, whatever their texts. Rows without a
+doc_id take part by their texts; alone they have no component_id and are not kept. Other columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
 from .components import components
+from .heavy import join_listed
 from .scratch import Scratch
 
 NAME = "op1_near_duplicates"
@@ -44,11 +45,12 @@ LANE = SYMBOL_BITS + 1
 LANES = [((1 << SYMBOL_BITS) - 1) << (LANE * i) for i in range(CHUNK)]
 LOW, HIGH = sum(LANES), sum(1 << (LANE * i + SYMBOL_BITS) for i in range(CHUNK))
 SHARE = (75, 100)
-#: Bits of the bitmaps that bound intersections.
-BITMAP = 1024
+#: Bits of the bitmaps that bound what two sets share.
+BITMAP = 4096
 #: Buckets from which a member is tried ahead in one round.
 TRIES = 8
-SKETCH = "doc_id long, n_shingles long, set_id binary, signature array<long>"
+SIGNATURE = [f"c{i}" for i in range(CHUNKS)]
+SKETCH = "doc_id long, mark long, n_shingles long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in SIGNATURE)
 
 _MULTIPLY = K.stream(11, SYMBOLS) | np.uint64(1)
 _CHANGE = K.stream(12, SYMBOLS)
@@ -75,37 +77,36 @@ def signatures(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
         for chunk in K.chunks(batch.column("text")):
+            n = len(chunk)
             hashes, begin = shingles(chunk)
-            full = np.flatnonzero(np.diff(begin))
-            signed = dict(zip(full.tolist(), signatures(hashes, begin[full]).tolist(), strict=True)) if len(full) else {}
-            sets = [np.unique(hashes[begin[d] : begin[d + 1]]) for d in range(len(chunk))]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": ids.slice(chunk.lo, len(chunk)),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_id": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    "signature": pa.array([signed.get(d) for d in range(len(chunk))], pa.list_(pa.int64())),
-                }
-            )
+            sets = [np.unique(hashes[begin[d] : begin[d + 1]]) for d in range(n)]
+            sizes = np.array([len(x) for x in sets])
+            full = np.flatnonzero(sizes)
+            names = np.frombuffer(b"".join(hashlib.blake2b(sets[d].tobytes(), digest_size=16).digest() for d in full), np.int64).reshape(-1, 2)
+            signed = signatures(hashes, begin[full]) if len(full) else np.zeros((0, CHUNKS), np.int64)
+            values = np.zeros((n, 2 + CHUNKS), np.int64)
+            values[full] = np.concatenate([names, signed], axis=1)
+            columns = {c: batch.column(c).slice(chunk.lo, n) for c in ("doc_id", "mark")} | {"n_shingles": pa.array(sizes, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | {c: pa.array(values[:, i], mask=sizes == 0) for i, c in enumerate(("s1", "s2", *SIGNATURE))})
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, SKETCH)
+    """Per row of docs (doc_id, mark, text): its set's size, a hash of 128 bits and the signature; nulls for an empty set."""
+    return docs.select("doc_id", "mark", "text").mapInArrow(_sketch, SKETCH)
 
 
-def keys(signature: Column) -> Column:
-    """All 48 keys: each chunk with each one of its symbols masked."""
-    made = [F.xxhash64(F.lit(4 * c + i), signature[c].bitwiseAND(F.lit(LOW ^ lane))) for c in range(CHUNKS) for i, lane in enumerate(LANES)]
+def keys() -> Column:
+    """All 48 keys of the columns SIGNATURE: each chunk with each one of its symbols masked."""
+    made = [F.xxhash64(F.lit(4 * i + j), F.col(c).bitwiseAND(F.lit(LOW ^ lane))) for i, c in enumerate(SIGNATURE) for j, lane in enumerate(LANES)]
     return F.array(*made)
 
 
-def symbols_apart(a: Column, b: Column) -> Column:
-    """In how many symbols two signatures differ."""
+def symbols_apart(a: str, b: str) -> Column:
+    """In how many symbols two signatures differ, whose columns have these prefixes."""
     found = None
-    for c in range(CHUNKS):
-        odd = F.bit_count((a[c].bitwiseXOR(b[c]) + F.lit(LOW)).bitwiseAND(F.lit(HIGH)))
+    for c in SIGNATURE:
+        odd = F.bit_count((F.col(a + c).bitwiseXOR(F.col(b + c)) + F.lit(LOW)).bitwiseAND(F.lit(HIGH)))
         found = odd if found is None else found + odd
     return found
 
@@ -142,7 +143,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
+        ids = batch.column("id").to_numpy()
         for chunk in K.chunks(batch.column("text")):
             hashes, begin = shingles(chunk)
             sets = [np.unique(hashes[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
@@ -156,52 +157,70 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros((len(chunk), BITMAP), bool)
             bits[np.repeat(np.arange(len(chunk)), np.diff(begin)), (hashes % np.uint64(BITMAP)).astype(np.int64)] = True
             longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("doc_id").slice(chunk.lo, len(chunk)), "bits": pa.array(longs.tolist(), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").slice(chunk.lo, len(chunk)), "bits": pa.array(longs.tolist(), pa.list_(pa.int64()))})
 
 
-def alone(x: Column, y: Column) -> Column:
+def alone(x: str, y: str) -> Column:
     """At least so many elements of x's set are not in y's: the bits that x's bitmap has and y's has not."""
     # Looped rather than written out: a condition of that many terms is too long a method for the JVM to compile.
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, more: n + more)
 
 
 class NearDuplicates:
-    """The steps over one table of documents (columns doc_id and text)."""
+    """The steps over one table of documents (columns doc_id and text). Classes have an ``id``; a, b and component are ids too."""
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark, "near-duplicates")
-        self.docs = docs.select(F.col("doc_id").cast("long"), "text")
-
-    def classes(self) -> DataFrame:
-        """One row per distinct set: id (its least doc_id) and signature."""
-        self.sketched = self.scratch.keep(sketches(self.docs), "sketches")
-        first = self.sketched.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"))
-        self.members = self.scratch.keep(self.sketched.join(first, "set_id", "left").select("doc_id", "n_shingles", "id", "signature"), "members")
-        return self.members.where("doc_id = id").select("id", "signature", F.col("n_shingles").alias("n")).dropDuplicates(["id"])
-
-    def buckets(self, classes: DataFrame) -> DataFrame:
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+
+    def classes(self) -> None:
+        """``sketched``: a row per document. ``signed``: a row per distinct set, with the least doc_id and a text that have it."""
+        seen = Observation()
+        self.sketched = self.scratch.keep(sketches(self.docs).observe(seen, F.count("*").alias("n")), "sketches")
+        self.rows = seen.get["n"]
+        first = [F.first(c).alias(c) for c in ("n_shingles", *SIGNATURE)]
+        sets = self.sketched.where("n_shingles > 0").groupBy("s1", "s2").agg(
+            F.min("doc_id").alias("doc"), F.coalesce(F.min_by("mark", "doc_id"), F.min("mark")).alias("doc_mark"), F.count("*").alias("rows"), *first
+        )
+        self.signed = self.scratch.keep(sets.withColumnRenamed("n_shingles", "n").withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    def same_document(self) -> DataFrame:
+        """Links between the classes of rows that share a doc_id."""
+        rows = self.sketched.where("doc_id is not null and n_shingles > 0").select("doc_id", "s1", "s2")
+        several = rows.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("doc_id")
+        held = rows.join(several, "doc_id").distinct().join(self.signed.select("s1", "s2", "id"), ["s1", "s2"]).select("doc_id", "id")
+        least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+        return held.join(least, "doc_id").where("a < id").select("a", F.col("id").alias("b"))
+
+    def buckets(self) -> DataFrame:
         """(key, id, least): the members of all buckets with more than one, and the bucket's least member."""
-        rows = classes.select("id", F.explode(keys(F.col("signature"))).alias("key"))
+        rows = self.signed.select("id", F.explode(keys()).alias("key"))
         shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
         return self.scratch.keep(rows.join(shared, "key"), "buckets")
 
+    def _texts(self, buckets: DataFrame) -> DataFrame:
+        """(id, text) of the classes in buckets, from which all later steps read."""
+        wanted = self.signed.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "doc", "doc_mark")
+        here = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("mark") == F.col("doc_mark"))
+        # The list is small beside the texts: it is the hashed side, and texts are not sorted.
+        return self.scratch.keep(self.docs.join(wanted.hint("shuffle_hash"), here).select("id", "text").dropDuplicates(["id"]), "texts")
+
     def _signed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose signatures are near enough."""
-        s = self.signed
-        a, b = s.select(F.col("id").alias("a"), F.col("signature").alias("sa")), s.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-        return pairs.join(a, "a").join(b, "b").where(symbols_apart(F.col("sa"), F.col("sb")) <= MOST_DIFFERENT).select("a", "b")
+        a, b = (self.signed.select(F.col("id").alias(x), *(F.col(c).alias(x + c) for c in SIGNATURE)) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").where(symbols_apart("a", "b") <= MOST_DIFFERENT).select("a", "b")
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs with their verdicts on full sets; only texts that take part in a pair are moved."""
         pairs = self.scratch.keep(pairs, f"{name}-pairs")
         involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = self.scratch.keep(self.docs.join(involved, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        texts = self.texts.join(involved, "id", "left_semi")
+        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+        b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         both = pairs.join(b, "b").join(a, "a")
         done = self.scratch.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean"), f"{name}-verdicts")
-        self.scratch.drop(pairs, texts)
+        self.scratch.drop(pairs)
         return done
 
     def _split(self, held: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -210,22 +229,6 @@ class NearDuplicates:
         several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         return self.scratch.keep(placed.join(several, "key"), name)
 
-    def _linkable(self, split: DataFrame) -> DataFrame:
-        """(id, n, s, bits, signature): members of the given buckets that can have another link at all; exact.
-
-        s counts the shingles that a member shares with any other of them: a link needs 100 s >= 75 n.
-        """
-        ids = split.select("id").distinct().join(self.signed, "id")
-        texts = self.scratch.keep(self.docs.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "split-texts")
-        table = self.scratch.keep(texts.mapInArrow(_listed, "id long, shingle long"), "shingles")
-        most, whole = SHARE
-        shared = table.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1").select("shingle")
-        counted = table.join(shared, "shingle").groupBy("id").agg(F.count("*").alias("s"))
-        able = ids.join(counted, "id").where(whole * F.col("s") >= most * F.col("n"))
-        left = self.scratch.keep(able.join(texts.mapInArrow(_bitmaps, "id long, bits array<long>"), "id").select("id", "n", "s", "bits", "signature"), "linkable")
-        self.scratch.drop(texts, table)
-        return left
-
     def _advances(self, split: DataFrame, turn: int) -> DataFrame:
         """Pairs of a member with one of another component in its bucket, drawn by hash; from TRIES of its buckets at most.
         They only hasten what ``_across`` would find."""
@@ -234,44 +237,89 @@ class NearDuplicates:
         nth = F.row_number().over(Window.partitionBy("id").orderBy("draw", "other"))
         return outside.withColumn("nth", nth).where(F.col("nth") <= TRIES).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
-    def _across(self, split: DataFrame, linkable: DataFrame) -> DataFrame:
-        """All pairs of a bucket in different components that can be linked and whose signatures are near enough."""
-        s = split.join(linkable, "id")
-        x, y = (s.select("key", F.col("id").alias(n), F.col("component").alias(f"c{n}"), F.col("signature").alias(f"s{n}"), F.col("n").alias(f"n{n}"), F.col("s").alias(f"m{n}"), F.col("bits").alias(f"b{n}")) for n in "ab")
-        # A link needs whole * shared >= most * (na + nb - shared); what one set shares with the other is bounded on both sides.
+    def _across(self, split: DataFrame) -> DataFrame:
+        """All pairs in different components that can be linked and whose signatures are near enough; exact.
+
+        A set of n shingles that is linked with another shares 3/4 n of them at least. Under one order of all shingles the
+        two have one in common among the first n - 3/4 n + 1 of each. The order is by number of holders, so these are the
+        rarest; those with one holder meet nothing and only use up places. Where the first shingle in common has places p and q
+        in sets of n and m, no more than 1 + min(n - p, m - q) are shared, which rules out most pairs of a family.
+        """
         most, whole = SHARE
-        enough = lambda shared: (whole + most) * shared >= most * (F.col("na") + F.col("nb"))
-        can = enough(F.least("ma", "mb")) & enough(F.col("na") - alone(F.col("ba"), F.col("bb"))) & enough(F.col("nb") - alone(F.col("bb"), F.col("ba")))
-        near = (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (symbols_apart(F.col("sa"), F.col("sb")) <= MOST_DIFFERENT) & can
-        return x.join(y, near).select("a", "b").distinct()
+        able = split.select("id", "component").distinct().join(self.signed.select("id", "n"), "id")
+        table = self.scratch.keep(self.texts.join(able.select("id"), "id", "left_semi").mapInArrow(_listed, "id long, shingle long"), "shingles")
+        holders = table.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+        shared = table.join(holders, "shingle").join(able, "id")
+        by_rarity = Window.partitionBy("id").orderBy("holders", "shingle")
+        n_shared = F.count("*").over(Window.partitionBy("id"))
+        shared = shared.withColumn("place", F.col("n") - n_shared + F.row_number().over(by_rarity))
+        rare = shared.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * most / whole) + 1)
+        rare = self.scratch.keep(rare.select("shingle", "id", "component", "n", "place"), "rare")
+        # Pairs inside a shingle's largest component are never made: of two components one is not the largest.
+        by_component = rare.groupBy("shingle", "component").agg(F.count("*").alias("members"))
+        largest = by_component.groupBy("shingle").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1").drop("components")
+        met = rare.join(largest, "shingle")
+        x = met.where("component <> largest").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "place")))
+        y = met.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "place")))
+        # A link needs whole * shared >= most * (n + m - shared).
+        can_share = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        fits = (F.col("x_component") != F.col("y_component")) & ((whole + most) * can_share >= most * (F.col("x_n") + F.col("y_n")))
+        pairs = x.join(y, "shingle").where(fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        near = self.scratch.keep(self._signed(pairs), "across")
+        # Bitmaps rule out the rest of most families: what lies alone in one set is not shared.
+        mapped = self.texts.join(rare.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps, "id long, bits array<long>")
+        mapped = self.scratch.keep(mapped.join(self.signed.select("id", "n"), "id"), "bitmaps")
+        a, b = (mapped.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
+        shared_at_most = F.least(F.col("na") - alone("bits_a", "bits_b"), F.col("nb") - alone("bits_b", "bits_a"))
+        left = near.join(a, "a").join(b, "b").where((whole + most) * shared_at_most >= most * (F.col("na") + F.col("nb"))).select("a", "b")
+        self.scratch.drop(table, rare)
+        return left
 
-    def find(self, rounds: int = 1) -> DataFrame:
-        self.signed = self.scratch.keep(self.classes(), "classes")
-        buckets = self.buckets(self.signed)
+    def links(self, rounds: int = 1) -> DataFrame:
+        """(id, component) of all classes that have a link."""
+        buckets = self.buckets()
+        self.scratch.drop()
+        self.texts = self._texts(buckets)
+        self.scratch.drop()
         tried = self.confirm(self._signed(buckets.where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()), "first")
-        found = components(tried.where("linked"), self.scratch)
+        found = components(tried.where("linked").select("a", "b").unionByName(self.same_document()), self.scratch)
         split = self._split(buckets, found, "split")
-        if not split.isEmpty():
-            linkable = self._linkable(split)
-            split = self._split(split.join(linkable.select("id"), "id", "left_semi"), found, "linkable")
+        self.scratch.drop(buckets)
         for turn in range(rounds):
             if split.isEmpty():
                 break
             fresh = self.confirm(self._signed(self._advances(split, turn).join(tried, ["a", "b"], "left_anti")), f"round{turn}")
             tried = tried.unionByName(fresh)
             found = components(fresh.where("linked"), self.scratch, found)
-            split = self._split(split, found, f"split{turn}")
+            before, split = split, self._split(split, found, f"split{turn}")
+            self.scratch.drop(before)
         if not split.isEmpty():
-            last = self.confirm(self._across(split, linkable).join(tried, ["a", "b"], "left_anti"), "last")
+            last = self.confirm(self._across(split).join(tried, ["a", "b"], "left_anti"), "last")
             found = components(last.where("linked"), self.scratch, found)
-        out = self.members.join(found, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
-        return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        self.scratch.drop(self.texts, split)
+        return found
+
+    def find(self, rounds: int = 1) -> DataFrame:
+        """Per row of docs: doc_id, mark, n_shingles, group (the component's number; null for an empty set) and component_id."""
+        self.classes()
+        placed = self.signed.join(self.links(rounds), "id", "left").select("s1", "s2", "doc", "rows", F.coalesce("component", "id").alias("group"))
+        least = placed.groupBy("group").agg(F.min("doc").alias("component_id"))
+        placed = self.scratch.keep(placed.join(least, "group").select("s1", "s2", "group", "component_id", "rows"), "placed")
+        rows = self.sketched.select("doc_id", "mark", "n_shingles", "s1", "s2")
+        some, none = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
+        joined = join_listed(some, placed, ["s1", "s2"], "rows", self.rows)
+        alone = none.withColumn("group", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+        return joined.unionByName(alone).select("doc_id", "mark", "n_shingles", "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the least doc_id it is linked with) and kept."""
-    return NearDuplicates(docs).find()
+    """Per row of docs: doc_id, mark (a hash of the text), n_shingles, group, component_id (the least doc_id it is linked with) and kept.
+
+    An empty text whose doc_id another text has too is alone all the same.
+    """
+    out = NearDuplicates(docs).find()
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark", "group")
