@@ -46,7 +46,7 @@ LANES = [((1 << SYMBOL_BITS) - 1) << (LANE * i) for i in range(CHUNK)]
 LOW, HIGH = sum(LANES), sum(1 << (LANE * i + SYMBOL_BITS) for i in range(CHUNK))
 SHARE = (75, 100)
 #: Bits of the bitmaps that bound what two sets share.
-BITMAP = 4096
+BITMAP = 1024
 #: Buckets from which a member is tried ahead in one round.
 TRIES = 8
 SIGNATURE = [f"c{i}" for i in range(CHUNKS)]
@@ -254,26 +254,24 @@ class NearDuplicates:
         n_shared = F.count("*").over(Window.partitionBy("id"))
         shared = shared.withColumn("place", F.col("n") - n_shared + F.row_number().over(by_rarity))
         rare = shared.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * most / whole) + 1)
-        rare = self.scratch.keep(rare.select("shingle", "id", "component", "n", "place"), "rare")
+        bitmaps = self.texts.join(able.select("id"), "id", "left_semi").mapInArrow(_bitmaps, "id long, bits array<long>")
+        rare = self.scratch.keep(rare.select("shingle", "id", "component", "n", "place").join(bitmaps, "id"), "rare")
         # Pairs inside a shingle's largest component are never made: of two components one is not the largest.
         by_component = rare.groupBy("shingle", "component").agg(F.count("*").alias("members"))
         largest = by_component.groupBy("shingle").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1").drop("components")
         met = rare.join(largest, "shingle")
-        x = met.where("component <> largest").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "place")))
-        y = met.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "place")))
-        # A link needs whole * shared >= most * (n + m - shared).
+        x = met.where("component <> largest").select("shingle", *(F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "place", "bits")))
+        y = met.select("shingle", *(F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "place", "bits")))
+        # A link needs whole * shared >= most * (n + m - shared). Bitmaps rule out the rest of most families: what lies alone in one
+        # set is not shared.
+        enough = lambda shared: (whole + most) * shared >= most * (F.col("x_n") + F.col("y_n"))
         can_share = 1 + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-        fits = (F.col("x_component") != F.col("y_component")) & ((whole + most) * can_share >= most * (F.col("x_n") + F.col("y_n")))
+        fits = (F.col("x_component") != F.col("y_component")) & enough(can_share)
+        fits = fits & enough(F.col("x_n") - alone("x_bits", "y_bits")) & enough(F.col("y_n") - alone("y_bits", "x_bits"))
         pairs = x.join(y, "shingle").where(fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-        near = self.scratch.keep(self._signed(pairs), "across")
-        # Bitmaps rule out the rest of most families: what lies alone in one set is not shared.
-        mapped = self.texts.join(rare.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps, "id long, bits array<long>")
-        mapped = self.scratch.keep(mapped.join(self.signed.select("id", "n"), "id"), "bitmaps")
-        a, b = (mapped.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits_{i}")) for i in "ab")
-        shared_at_most = F.least(F.col("na") - alone("bits_a", "bits_b"), F.col("nb") - alone("bits_b", "bits_a"))
-        left = near.join(a, "a").join(b, "b").where((whole + most) * shared_at_most >= most * (F.col("na") + F.col("nb"))).select("a", "b")
+        made = self.scratch.keep(self._signed(pairs), "across")
         self.scratch.drop(table, rare)
-        return left
+        return made
 
     def links(self, rounds: int = 1) -> DataFrame:
         """(id, component) of all classes that have a link."""
