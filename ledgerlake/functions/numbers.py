@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that rows are numbered in: for each shuffle partition, in all (bounds are part of the plan), and rows a range is worth.
+RANGES_A_PARTITION, MOST_RANGES, LEAST_ROWS = 4, 1024, 1024
+#: Rows drawn for each range to set its bounds.
+DRAWS_A_RANGE = 16
+
 
 def human_bytes(n: Column) -> Column:
     """Bytes with a binary unit and one decimal from KiB on."""
@@ -21,14 +26,33 @@ def number_rows(df: DataFrame, order: list[str], name: str, first: int = 1) -> D
     """Numbers rows first, first + 1, ... in a total order, without one task for all.
 
     Rows are dealt by range, counted per range, and numbered within. The order must be total and the input repeatable.
+    The bounds of the ranges are fixed here, by a job over the order's columns: Spark draws bounds of its own anew for each
+    reading of a repartitionByRange and merges small partitions as it runs, so rows and counts would not speak of the same ranges.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    dealt = df.withColumn("_part", range_of(df, order))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     bases = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_part").orderBy(*order)
     return dealt.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_row") + (first - 1)).drop("_part", "_base", "_row")
 
 
+def range_of(df: DataFrame, order: list[str]) -> Column:
+    """The number of a row's range, from 0. Bounds come from some drawn rows: they decide how even the ranges are, and any bounds keep the order."""
+    keys = df.select(*order)
+    n, kinds = keys.count(), [f.dataType for f in keys.schema.fields]
+    ranges = min(RANGES_A_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES, n // LEAST_ROWS)
+    if ranges < 2:
+        return F.lit(0)
+    drawn = keys.sample(min(1.0, ranges * DRAWS_A_RANGE / n), seed=1).orderBy(*order).collect() or keys.take(1)
+    taken = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)]
+    # Sorted again as literals: a time that goes to Python and back need not keep its place.
+    bounds = F.sort_array(F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, order, strict=True))) for row in taken)))
+    # Bounds not above the key, found by steps of falling powers of two; past the last bound there is none to compare with.
+    steps = F.array(*(F.lit(1 << p) for p in reversed(range(len(taken).bit_length()))))
+    further = lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.struct(*order), at + step).otherwise(at)
+    return F.coalesce(F.aggregate(steps, F.lit(0), further), F.lit(0))
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, shares: dict[str, tuple[int, int]]) -> DataFrame:
     """Per group the value at place min(n - 1, n * a // b) of the sorted values, for each share a / b; and the greatest.
 

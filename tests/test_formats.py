@@ -154,3 +154,34 @@ def test_consensus_log_round_trip(spark, tmp_path):
     left = replication.fold_log(read).orderBy("index").collect()
     assert [(r["index"], r["term"], bytes(r["command"])) for r in left] == [(1, 3, b"c"), (2, 3, b"cc"), (3, 3, b"ccc"), (4, 4, b"")]
     assert tuple(replication.hard_state(read).first()) == (5, "")
+
+
+def test_numbers_are_gapless_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlake.operators import writes
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+    try:
+        rows = spark.range(0, 40_000, 1, 16).select(((F.col("id") * 7919) % 40_000).alias("n")).select("n", F.col("n").cast("string").cast("binary").alias("key"), F.repeat(F.sha2(F.col("n").cast("string"), 256), 4).cast("binary").alias("value"))
+        made = writes.puts(rows, ["n"], 42).select(F.col("key").cast("string").cast("long"), "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert sorted(tuple(r) for r in made) == [(n, n + 42) for n in range(40_000)]
+
+
+def test_numbers_follow_any_total_order(spark):
+    from datetime import datetime
+
+    from ledgerlake.functions.numbers import number_rows
+
+    rows = [(None if i % 50 == 0 else f"k{i % 7}".encode(), float("nan") if i % 11 == 0 else i % 5 - 2.5, datetime(2020, 1, 1 + i % 28, i % 24), i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a binary, b double, c timestamp, d long")
+    order = ["a", "b", "c", "d"]
+    want = [r["d"] for r in df.coalesce(1).sortWithinPartitions(*order).collect()]
+    assert [r["d"] for r in sorted(number_rows(df, order, "n").collect(), key=lambda r: r["n"])] == want
+    assert sorted(r["n"] for r in number_rows(df, order, "n").collect()) == list(range(1, 20_001))
+    for few in (0, 1, 3):
+        assert sorted(r["n"] for r in number_rows(df.limit(few), order, "n", 5).collect()) == list(range(5, 5 + few))
