@@ -12,9 +12,17 @@ DRAWS_A_RANGE = 16
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes with a binary unit and one decimal from KiB on."""
-    scaled = lambda power, unit: F.concat(F.format_string("%.1f", n / float(1 << power)), F.lit(f" {unit}"))
-    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(10, "KiB")).when(n < 1 << 30, scaled(20, "MiB")).otherwise(scaled(30, "GiB"))
+    """Bytes with a binary unit and one decimal from KiB on.
+
+    Rounded as C and Go do: from the exact value, a half to the even decimal. format_string rounds a half up.
+    """
+
+    def scaled(power: int, unit: str) -> Column:
+        size = n / float(1 << power)
+        tenths = F.floor(size) * 10 + F.rint((size - F.floor(size)) * 10).cast("long")  # no bit is lost in the fraction
+        return F.format_string(f"%d.%d {unit}", F.floor(tenths / 10), tenths % 10)
+
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(10, "KiB")).when(n < 1 << 30, scaled(20, "MiB")).when(n >= 1 << 30, scaled(30, "GiB"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -369,7 +369,7 @@ def _(spark, d):
     ELSE printf('%.1f', n / 1073741824.0) || ' GiB' END AS shown FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 4 + 1) * (o_orderkey % 4 + 1) * 997) + 1 AS BIGINT) AS n FROM orders)""",
 )
 def _(spark, d):
-    k = F.pmod("o_orderkey", F.lit(4)) + 1
+    k = F.col("o_orderkey") % 4 + 1
     n = (F.floor(F.col("o_totalprice") * k * k * 997) + 1).cast("long")
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", numbers.human_bytes(n).alias("shown"))
 

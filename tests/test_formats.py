@@ -74,12 +74,26 @@ def test_human_bytes(spark):
     assert [r[0] for r in rows.select(human_bytes(rows["n"])).collect()] == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "128.0 MiB", "3.0 GiB"]
 
 
+def test_human_bytes_rounds_halves_to_even(spark):
+    shown = {
+        1280: "1.2 KiB", 1792: "1.8 KiB", 2304: "2.2 KiB", 1279: "1.2 KiB", 1281: "1.3 KiB", 1048575: "1024.0 KiB", (635 << 20) + (1 << 18): "635.2 MiB",
+        (3 << 30) + (1 << 28): "3.2 GiB", (3 << 30) + (3 << 28): "3.8 GiB", 2204885243222871296: "2053459401.5 GiB", 2**63 - 1: "8589934592.0 GiB", -5: "-5 B", None: None,
+    }
+    rows = spark.createDataFrame([(n,) for n in shown], "n long")
+    assert {r[0]: r[1] for r in rows.select("n", human_bytes(rows["n"])).collect()} == shown
+
+
 def test_every_order_is_shown(spark):
     d = "/root/testdata/sf0.001"
     keys = sorted(r[0] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").collect())
     assert sorted(r["o_orderkey"] for r in registry.queries()["human_bytes"](spark, d).collect()) == keys
 
 
+def test_orders_without_a_price_and_with_negative_keys(spark, tmp_path):
+    spark.createDataFrame([(-1, 5000.0), (3, 5000.0), (4, None)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(tuple(r) for r in registry.queries()["human_bytes"](spark, str(tmp_path)).collect()) == [(-1, "1 B"), (3, "76.1 MiB"), (4, None)]
+
+
 def test_bloom():
     assert round(bloom.bits_per_key(0.01), 3) == 9.585 and bloom.num_hashes(bloom.bits_per_key(0.01)) == 7 and bloom.num_hashes(bloom.bits_per_key(0.001)) == 10
     keys = [b"key-%d" % i for i in range(2000)]
